@@ -1,0 +1,30 @@
+"""Connected components of an edge table, wholly distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessella.llm import textvec as tv
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of edges (a, b); a component is named by its least node.
+
+    Alternates the large-star and small-star steps until neither changes an edge. Each round is a written table.
+    """
+    e = tv.written(edges.where("a != b").select("a", "b").distinct(), "edges")
+    state = None
+    while True:
+        w = Window.partitionBy("u")
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
+        large = both.select("u", "v", F.least("u", F.min("v").over(w)).alias("m")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+        low = down.select("u", "v", F.min("v").over(w).alias("m"))
+        small = low.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
+        e = tv.written(small, "edges")
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import langid
+from tessella.llm import jaccard, langid, linedup
 
 
 def queries() -> dict:
-    return {"op10_language_id": langid.query}
+    return {"op3_line_dedup": linedup.query, "op8_ngram_jaccard": jaccard.query, "op10_language_id": langid.query}
 
 
 def oracle_sql() -> dict[str, str]:
