@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, jaccard, langid, linedup
+from tessella.llm import bpe, decontam, jaccard, langid, linedup
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": linedup.query, "op4_bpe": bpe.query, "op8_ngram_jaccard": jaccard.query, "op10_language_id": langid.query}
+    return {"op3_line_dedup": linedup.query, "op4_bpe": bpe.query, "op5_decontamination": decontam.query, "op8_ngram_jaccard": jaccard.query, "op10_language_id": langid.query}
 
 
 def oracle_sql() -> dict[str, str]:
