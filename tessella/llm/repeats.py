@@ -4,7 +4,8 @@
    Any LEAST equal words hold an equal chosen window, so windows chosen only once in the corpus can be left out
    without missing a repeat; there are no other shortcuts and no limits on how often a window occurs.
 2. Around the windows that occur again, each document is cut into segments that reach LEAST words to both sides, one for
-   each earliest document that its windows lead to. All segments that lead to one document come together.
+   each earliest document that its windows lead to. All segments that lead to one document come together;
+   overlapping segments of a document that meet are one.
 3. Those, end to end with a separator of its own behind each, form a text whose Burrows-Wheeler transform consists of
    few long runs. The index keeps the runs and samples the text positions at their ends. Where a run begins, the
    suffix and its neighbour before it in sorted order part after a length that is stored with the sample (as for the
@@ -213,13 +214,15 @@ def repeats(docs: DataFrame) -> DataFrame:
         held, total, lead = [], 0, None
 
         def done() -> pa.RecordBatch:
-            seen, own = set(), []
-            for r in held:  # a repeated row is the same document
-                if r[1:4] not in seen:
-                    seen.add(r[1:4])
-                    own.append(r)
-            got = marked([r[4] for r in own])
-            return tv.batch_of(schema, [own[s][1] for s, _, _ in got], [own[s][2] for s, _, _ in got], [own[s][3] + a for s, a, _ in got], [own[s][3] + b for s, _, b in got])
+            own: list[list] = []
+            for _, doc, key, first, w in sorted(held, key=lambda r: (r[1], r[2], r[3], -len(r[4]))):
+                # overlapping segments of a document are one, for a word is no repeat of itself; so are repeated rows
+                if own and own[-1][:2] == [doc, key] and first <= own[-1][2] + len(own[-1][3]):
+                    own[-1][3] = np.concatenate([own[-1][3], w[own[-1][2] + len(own[-1][3]) - first :]])
+                else:
+                    own.append([doc, key, first, w])
+            got = marked([r[3] for r in own])
+            return tv.batch_of(schema, [own[s][0] for s, _, _ in got], [own[s][1] for s, _, _ in got], [own[s][2] + a for s, a, _ in got], [own[s][2] + b for s, _, b in got])
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
