@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, decontam, htmlx, jaccard, langid, linedup, quality, repeats, urlfilter
+from tessella.llm import bpe, decontam, htmlx, jaccard, langid, linedup, lmscore, quality, repeats, urlfilter
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality.query, "op3_line_dedup": linedup.query, "op4_bpe": bpe.query, "op5_decontamination": decontam.query, "op6_html_extraction": htmlx.query, "op7_suffix_array_dedup": repeats.query, "op8_ngram_jaccard": jaccard.query, "op9_url_filter": urlfilter.query, "op10_language_id": langid.query}
+    return {"op1_lm_scoring": lmscore.query, "op2_quality_rules": quality.query, "op3_line_dedup": linedup.query, "op4_bpe": bpe.query, "op5_decontamination": decontam.query, "op6_html_extraction": htmlx.query, "op7_suffix_array_dedup": repeats.query, "op8_ngram_jaccard": jaccard.query, "op9_url_filter": urlfilter.query, "op10_language_id": langid.query}
 
 
 def oracle_sql() -> dict[str, str]:
