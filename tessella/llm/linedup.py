@@ -154,7 +154,7 @@ def deletions(docs: DataFrame) -> DataFrame:
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with their text cleaned and, under a name that docs doesn't have, the numbers of the deleted lines."""
     own = "_gone"
-    while own in docs.columns:
+    while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
     gone = deletions(docs.select("doc_id", "text")).select(F.col("doc_id").alias(own + "d"), F.col("key").alias(own + "k"), F.col("gone").alias(own))
     joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == gone[own + "d"]) & (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == gone[own + "k"]), "left")

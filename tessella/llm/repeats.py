@@ -43,8 +43,8 @@ def chosen(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     row = np.repeat(np.arange(len(per)), per)
     n = np.maximum(per - K + 1, 0)
     w = LEAST - K + 1
-    if not len(g):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), g
+    if len(g) < w:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), g[:0]
     # the least of each w neighbours, from spans that double
     low, span = g.copy(), 1
     while span < w:

@@ -6,13 +6,13 @@ Hashes are 64-bit polynomial hashes (taken from one running sum) with a mixing f
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from tessella.sources.snapshots import shared_dir, written  # noqa: F401
 
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 512
@@ -146,22 +146,3 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
 
 def batch_of(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (as in tests) one of our own is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
