@@ -108,8 +108,8 @@ def centrality(edges: DataFrame, mode: str = "degree", limit: int | None = None)
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, limit: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(id, score): weighted power iteration; weights of 0 or less carry nothing, dangling rank spreads evenly.
 
-    Edges are written once, with each source's total; a round is one join on src and one aggregation on dst, and
-    the rounds' ranks are written, since the test for convergence and the next round both read them.
+    Edges are shuffled by src once and kept that way, so a round moves ranks alone: one join on src and one aggregation
+    on dst. The rounds' ranks are written, since the test for convergence and the next round both read them.
     """
     w = weighted(edges).withColumn("weight", F.greatest("weight", F.lit(0.0)))
     ids = written(w.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "vertices")
@@ -118,6 +118,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, limit
         return ids.select("id", F.lit(0.0).alias("score"))
     share = Window.partitionBy("src")
     flow = written(w.where("weight > 0").withColumn("part", F.col("weight") / F.sum("weight").over(share)).select("src", "dst", "part"), "flow")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flow = flow.repartition(parts, "src").persist()  # what an executor loses is read from the written table again
     dangling = ids.join(flow.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("dangling", F.lit(True))
     base = written(ids.join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling")), "vertices")
     rank = base.select("id", "dangling", F.lit(1.0 / n).alias("score"))
@@ -130,6 +132,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, limit
         change, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
         if change < tolerance:
             break
+    flow.unpersist()
     ranked = rank.select("id", "score").orderBy(F.col("score").desc(), "id")
     return ranked if limit is None else ranked.limit(limit)
 
