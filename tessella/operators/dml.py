@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import SchemaError
+from tessella.errors import QueryError, SchemaError
 from tessella.lang import statements as st
 from tessella.operators import relational
 from tessella.operators.fields import VALUE, Typed, is_dynamic, kind_of, value_column, value_struct
@@ -107,11 +107,11 @@ def delete(df: DataFrame, hit: Column) -> DataFrame:
 
 
 def hits(df: DataFrame, target: st.Target, where: st.Where = (), functions=None) -> Column:
-    """The condition of a target: a record, or the rows of a WHERE (all rows without one)."""
+    """The condition of a target, never NULL: a record, or the rows of a WHERE (all rows without one)."""
     if target.id is not None:
-        return F.coalesce(F.col("_id") == target.id, F.lit(False))
+        return F.coalesce(relational.by_id(df, target.id), F.lit(False))
     c = relational.predicate(df, where, functions)
-    return F.lit(True) if c is None else c
+    return F.lit(True) if c is None else F.coalesce(c, F.lit(False))
 
 
 def unique_violations(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -147,3 +147,20 @@ def edge_rows(like: DataFrame, edges: Sequence[tuple[str, str, dict[str, Any]]])
 def relate(df: DataFrame, new: DataFrame) -> DataFrame:
     """new in place of the edges with the same ends, and beside the others."""
     return df.join(new.select("src", "dst"), ["src", "dst"], "left_anti").select(*df.columns).unionByName(new)
+
+
+def edge(df: DataFrame, src: str, dst: str) -> DataFrame:
+    return df.where((F.col("src") == src) & (F.col("dst") == dst))
+
+
+def unrelate(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """df without an edge."""
+    return df.where(~F.coalesce((F.col("src") == src) & (F.col("dst") == dst), F.lit(False)))
+
+
+def update_edge(df: DataFrame, src: str, dst: str, fields: st.Assigned) -> DataFrame:
+    """df with properties of an edge set; QueryError if there is no such edge."""
+    if edge(df, src, dst).isEmpty():
+        raise QueryError(f"no edge from {src} to {dst}")
+    hit = F.coalesce((F.col("src") == src) & (F.col("dst") == dst), F.lit(False))
+    return df.select(*[F.when(hit, _assigned(F.col(f"`{c}`"), c, df, dict(fields))).otherwise(F.col(f"`{c}`")).alias(c) if c not in ("src", "dst") else F.col(c) for c in df.columns])

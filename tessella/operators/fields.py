@@ -4,7 +4,8 @@ A *typed* table has one column for each field, where NULL means that the field i
 fields in a map column ``fields`` from name to VALUE, a struct that says its own type; a stored none is a value there.
 
 Equality is strict: an integer never equals a float. Order compares numbers across types, strings by bytes, and nothing
-else. A missing field satisfies no comparison, not even ``!=``.
+else. A missing field satisfies no comparison, not even ``!=``: a comparison may be NULL, which counts as false, so that
+filters reach the scan as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import types as T
 
 VALUE = "struct<t:string,b:boolean,i:bigint,f:double,s:string,v:array<double>>"
 _OPS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-FALSE, TRUE = F.lit, F.lit  # made where used: columns need a session
 
 
 def kind_of(value: Any) -> str:
@@ -120,7 +120,7 @@ class Typed:
     def compare(self, op: str, value: Any) -> Column:
         k = kind_of(value)
         if self.kind == "time" and k == "string":  # beyond the language's own types
-            return F.coalesce(_OPS[op](self.column, F.lit(value).cast(self.type)), F.lit(False))
+            return _OPS[op](self.column, F.lit(value).cast(self.type))
         if op in ("=", "!="):
             if k != self.kind or k == "none":
                 same = None
@@ -131,14 +131,14 @@ class Typed:
                 same = self.column == F.lit(value)
             if same is None:
                 return F.lit(False) if op == "=" else self.column.isNotNull()
-            return F.coalesce(same if op == "=" else ~same, F.lit(False))
+            return same if op == "=" else self.column != F.lit(value) if k != "array" else ~same
         numbers = self.kind in ("int", "float") and k in ("int", "float")
         if not numbers and not self.kind == k == "string":
             return F.lit(False)
         out = _OPS[op](self.column, F.lit(value))
         if self.kind == "float":
-            out = out & ~F.isnan(self.column)
-        return F.coalesce(out, F.lit(False))
+            out = out & ~F.isnan(self.column) if op in (">", ">=") else out  # NaN sorts greatest here
+        return out
 
     def is_none(self) -> Column:
         return self.column.isNull()
@@ -176,7 +176,7 @@ class Dynamic:
             out = F.when(c["t"] == "string", _OPS[op](c["s"], F.lit(value)))
         else:
             return F.lit(False)
-        return F.coalesce(out, F.lit(False))
+        return out
 
     def is_none(self) -> Column:
         return self.column.isNull() | (self.column["t"] == "none")

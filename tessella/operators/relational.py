@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -35,7 +36,7 @@ def term(df: DataFrame, item: st.Item, functions: Functions | None = None) -> Te
 
 
 def predicate(df: DataFrame, where: st.Where, functions: Functions | None = None) -> Column | None:
-    """The condition of a WHERE clause, never NULL; None if there is none."""
+    """The condition of a WHERE clause, where NULL counts as false; None if there is none."""
     parts = []
     for w in where:
         if isinstance(w, st.IsNone):
@@ -80,10 +81,27 @@ def project(df: DataFrame, table: str, items: Sequence[st.Item] | None = None, f
     return df.select(*cols, *[F.col(f"`{c}`") for c in extra], record_id(table))
 
 
+def keyed(df: DataFrame, key: str, prefix: str = "") -> DataFrame:
+    """df with record ids made of a prefix and a key column, which by_id() then looks for in the files' statistics."""
+    made = F.concat(F.lit(prefix), F.col(f"`{key}`").cast("string")) if prefix else F.col(f"`{key}`").cast("string")
+    return df.select("*", made.alias("_id", metadata={"key": key, "prefix": prefix}))
+
+
+def by_id(df: DataFrame, key: str) -> Column:
+    """The condition for one record; of a keyed table it names the key column, too."""
+    out, meta = F.col("_id") == key, df.schema["_id"].metadata
+    if meta.get("key") not in df.columns:
+        return out
+    column, raw = Typed(F.col(f"`{meta['key']}`"), df.schema[meta["key"]].dataType), key.removeprefix(meta["prefix"])
+    if column.kind == "int":
+        return out & (column.column == int(raw)) if re.fullmatch(r"-?\d{1,18}", raw) else out
+    return out & (column.column == raw) if column.kind == "string" else out
+
+
 def select(df: DataFrame, s: st.Select, functions: Functions | None = None) -> DataFrame:
     """A SELECT other than a traversal."""
     if s.target.id is not None:
-        df = df.where(F.col("_id") == s.target.id)
+        df = df.where(by_id(df, s.target.id))
     return project(ordered(where(df, s.where, functions), s.order, s.limit), s.target.table, s.items, functions)
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.operators import dml
-from tessella.plans.schema import Schema
+from tessella.operators.relational import keyed
+from tessella.plans.schema import FieldDef, Schema
 from tessella.sources.snapshots import written
 
 CUT = 16  # changes of a table between two snapshots
@@ -61,10 +65,8 @@ class Catalog:
 
     def add_table(self, name: str, df: DataFrame | Callable[[], DataFrame], key: str | None = None, schema: Schema | None = None) -> None:
         """A typed table; key names the column that becomes the record id."""
-        if key is not None:
-            from pyspark.sql import functions as F
-
-            df = df.withColumn("_id", F.col(key).cast("string"))
+        if key is not None and isinstance(df, DataFrame):
+            df = keyed(df, key)
         self.tables[name] = Stored(df)
         if schema:
             self.schemas[name] = schema
@@ -87,6 +89,8 @@ class Catalog:
     def change(self, name: str, df: DataFrame, edges: bool = False) -> None:
         """df as the table's next version; every CUT versions it is written out."""
         where = self.edges if edges else self.tables
+        if not edges and df.schema["_id"].metadata:
+            df = df.withColumn("_id", F.col("_id").alias("_id", metadata={}))  # new rows needn't have the key column
         s = where.setdefault(name, Stored(df))
         s.since_cut += 1
         if s.since_cut >= CUT:
@@ -103,3 +107,34 @@ class Catalog:
 
     def indexes_of(self, table: str, kind: str) -> list[Index]:
         return [i for i in self.indexes.values() if i.table == table and i.kind == kind]
+
+    # -- saving: a folder with a Parquet table for each table and a JSON file that names them
+
+    def save(self, path: str) -> None:
+        """Writes tables, edges and index definitions to a new version in a folder, then points the folder to it."""
+        version = uuid.uuid4().hex
+        names: dict[str, Any] = {"version": version, "namespace": self.namespace, "database": self.database, "tables": sorted(self.tables), "edges": sorted(self.edges), "indexes": [asdict(i) for i in self.indexes.values()], "schemas": [asdict(s) for s in self.schemas.values()]}
+        for kind, stored in (("tables", self.tables), ("edges", self.edges)):
+            for name, s in stored.items():
+                s.df.write.parquet(f"{path}/{version}/{kind}/{name}")
+        self.spark.createDataFrame([(json.dumps(names),)], "value string").coalesce(1).write.mode("append").text(f"{path}/catalog")
+
+    @staticmethod
+    def saved(spark: SparkSession, path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/catalog/_SUCCESS")
+        return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Catalog:
+        """The catalog saved last; its tables are read when first asked for."""
+        last = spark.read.text(f"{path}/catalog").select("value", F.col("_metadata.file_modification_time").alias("at")).orderBy(F.col("at").desc(), "value").first()
+        d = json.loads(last.value)
+        out = cls(spark, d["namespace"], d["database"])
+        for kind, add in (("tables", out.add_table), ("edges", out.add_edges)):
+            for name in d[kind]:
+                add(name, lambda where=f"{path}/{d['version']}/{kind}/{name}": spark.read.parquet(where))
+        for i in d["indexes"]:
+            out.indexes[i["name"], i["table"]] = Index(**i | {"fields": tuple(i["fields"])})
+        for s in d["schemas"]:
+            out.schemas[s["name"]] = Schema(s["name"], tuple(FieldDef(**f) for f in s["fields"]), s["closed"])
+        return out

@@ -245,7 +245,7 @@ class Engine:
         hit = dml.hits(df, s.target)
         more = relational.predicate(df, s.where, self.functions)
         if more is not None:
-            hit = hit & more
+            hit = hit & F.coalesce(more, F.lit(False))
         matched = df.where(hit).count()
         if matched:
             self.catalog.change(table, dml.update(df, s.fields, hit))

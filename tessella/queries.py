@@ -11,9 +11,9 @@ from tessella.functions import codetokens, ingest, registry
 from tessella.lang import statements as st
 from tessella.operators import communities, dml, graph, relational, text, vector
 from tessella.operators.fields import Typed
+from tessella.operators.relational import keyed
 from tessella.plans.catalog import Catalog
 from tessella.plans.engine import Engine
-from tessella.sources.tables import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

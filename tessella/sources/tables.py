@@ -16,11 +16,6 @@ def read(spark: SparkSession, path: str, format: str = "parquet", schema: str |
     return (r.schema(schema) if schema else r).load(path)
 
 
-def keyed(df: DataFrame, key: str, prefix: str = "") -> DataFrame:
-    """df as a typed table whose record ids are prefix and key."""
-    return df.withColumn("_id", F.concat(F.lit(prefix), F.col(key).cast("string")) if prefix else F.col(key).cast("string"))
-
-
 def dynamic_from_json(lines: DataFrame, text: str = "value", key: str = "_id") -> DataFrame:
     """A dynamic table from JSON objects, one in each row of a text column; the key field names the record."""
     entries = lines.select(F.get_json_object(text, f"$.{key}").alias("_id"), F.variant_get(F.parse_json(F.col(text)), "$", "map<string,variant>").alias("m"))

@@ -192,3 +192,40 @@ def test_typed_tables(engine, spark):
     assert engine.execute("COUNT p WHERE n = 7").scalars == {"count": 1}
     for bad in ("CREATE p:c SET n = 1.5", "CREATE p:c SET x = 1", "UPDATE p SET f = 'x'"):
         assert json.loads(engine.run(bad))["status"] == "error"
+
+
+def test_catalog_is_saved_and_loaded(engine, spark, tmp_path):
+    graph_of(engine)
+    fill(engine, "DEFINE FULLTEXT INDEX f ON user FIELDS name", "CREATE user:d SET name = 'D', tags = [1, 'x']")
+    engine.catalog.schemas["s"] = Schema("s", (FieldDef("emb", "vector", dimension=3),))
+    engine.catalog.save(str(tmp_path))
+    engine.execute("DELETE user:d")
+    engine.catalog.save(str(tmp_path))
+    again = Engine(spark, type(engine.catalog).load(spark, str(tmp_path)))
+    assert rows(again, "SELECT * FROM user") == rows(engine, "SELECT * FROM user")
+    assert [r["id"] for r in rows(again, "SEARCH user name 'b'")] == ["user:b"] and again.catalog.schemas == engine.catalog.schemas
+    assert sorted(r["id"] for r in rows(again, "SELECT ->knows->user FROM user:a")) == ["user:b", "user:c"]
+
+
+def test_edges_one_by_one(engine):
+    from tessella.operators import dml
+
+    graph_of(engine)
+    df = engine.catalog.edge_table("knows")
+    assert dml.edge(df, "a", "b").count() == 1 and dml.unrelate(df, "a", "b").count() == df.count() - 1
+    new = dml.update_edge(df, "a", "b", (("weight", 7),))
+    assert {(r.src, r.dst): r.weight for r in __import__("tessella.operators.graph", fromlist=["x"]).weighted(new).collect()}["a", "b"] == 7.0
+    with pytest.raises(QueryError):
+        dml.update_edge(df, "a", "zz", ())
+
+
+def test_prompt(spark, monkeypatch, capsys):
+    import io
+    import sys
+
+    from tessella.__main__ import main
+
+    monkeypatch.setattr(sys, "stdin", io.StringIO("CREATE u:a SET x = 1;\n\nBEGIN BATCH\nCREATE u:b SET x = 2\nEND BATCH\nCOUNT u OUTCOME CSV\nquit\nCOUNT u\n"))
+    main(["--table", "region=/root/testdata/sf0.001/region.parquet:r_regionkey"])
+    out = capsys.readouterr().out.splitlines()
+    assert json.loads(out[0])["id"] == "u:a" and json.loads(out[1])["created"] == 1 and out[2:] == ["status,count", "count,2"]
