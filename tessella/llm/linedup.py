@@ -125,7 +125,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 h, n, per = line_hashes(piece.column(2))
                 yield tv.batch_of(schema, piece.column(0), piece.column(1), tv.list_array(h, per, pa.int64()), tv.list_array(n, per, pa.int32()))
 
-    own = docs.where("doc_id is not null and text != ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    own = docs.where("doc_id is not null and text != ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
     return own.mapInArrow(part, "doc_id long, key long, h array<long>, n array<int>")
 
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 from helpers import awkward, frame, rows
 from hypothesis import given, settings
 from hypothesis import strategies as hs
+from pyspark.sql import functions as F
 
 from tessella.llm import linedup as ld
 
@@ -73,6 +74,13 @@ def test_short_shared_lines_stay(spark):
     assert {r.doc_id: r.lines_deleted for r in out} == {0: 0, 1: 0}
 
 
+def test_narrow_ids(spark):
+    docs = frame(spark, rows([f"{A}\n{B}", f"{A}\nNew text of the second document"])).withColumn("doc_id", F.col("doc_id").cast("int"))
+    out = ld.stage(spark, docs, "")
+    assert out.schema["doc_id"].dataType.simpleString() == "int"
+    assert {r.doc_id: r.text for r in out.collect()}[1] == "New text of the second document"
+
+
 def test_awkward_rows(spark):
     docs = frame(spark, awkward()).withColumnRenamed("source", "_gone").withColumnRenamed("lang", "key")
     out = ld.stage(spark, docs, "")
