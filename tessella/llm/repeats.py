@@ -4,8 +4,8 @@
    Any LEAST equal words hold an equal chosen window, so windows chosen only once in the corpus can be left out
    without missing a repeat; there are no other shortcuts and no limits on how often a window occurs.
 2. Around the windows that occur again, each document is cut into segments that reach LEAST words to both sides, one for
-   each earliest document that its windows lead to. All segments that lead to one document come together;
-   overlapping segments of a document that meet are one.
+   each earliest document that its windows lead to. All segments that lead to one document come together (very many of
+   them in blocks, every two of which meet); overlapping segments of a document that meet are one.
 3. Those, end to end with a separator of its own behind each, form a text whose Burrows-Wheeler transform consists of
    few long runs. The index keeps the runs and samples the text positions at their ends. Where a run begins, the
    suffix and its neighbour before it in sorted order part after a length that is stored with the sample (as for the
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
@@ -34,6 +34,7 @@ from tessella.llm import textvec as tv
 LEAST = 50
 K = 20
 BUNDLE = 1_000_000  # words of whole groups that are indexed at once
+BLOCK = 1_000_000  # about the words that a block of a larger group holds
 
 
 def chosen(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,12 +139,18 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def _segments(own: DataFrame) -> DataFrame:
-    """(lead, doc_id, key, first, words): segments around windows that occur again, and the document they lead to."""
+    """(lead, pair, doc_id, key, first, words): segments around windows that occur again, and the document they lead to.
+
+    Where more segments lead to a document than a task should hold, they are cut into k blocks by doc_id, and each goes to
+    every pair that its block is in, so that any two still meet.
+    """
     found = _anchors(own).distinct()
     # an anchor's rows come together once; those of one row have no other to lead to
-    hot = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1").select("hash", "lead")
-    spots = found.join(hot, "hash").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("lead", "at"))).alias("spots"))
-    schema = pa.schema([("lead", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
+    hot = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
+    most = F.max("n").over(Window.partitionBy("lead"))
+    hot = hot.select("hash", "lead", F.ceil(most * F.lit(LEAST + K) / F.lit(BLOCK)).cast("int").alias("k"))
+    spots = found.join(hot, "hash").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("lead", "at", "k"))).alias("spots"))
+    schema = pa.schema([("lead", pa.int64()), ("pair", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +170,18 @@ def _segments(own: DataFrame) -> DataFrame:
                 f = np.flatnonzero(new)
                 t = np.append(f[1:], len(at)) - 1
                 a, b = base[row[f]] + lo[f], base[row[f]] + hi[t]
-                k = pa.array(row[f])
-                yield tv.batch_of(schema, lead[f], piece.column(0).take(k), piece.column(1).take(k), lo[f].astype(np.int32), [h[i:j].tobytes() for i, j in zip(a, b)])
+                ids, blocks = piece.column(0).to_numpy(), s.field(2).to_numpy().astype(np.int64)[f]
+                own = (tv.mix(ids[row[f]].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                copies = np.maximum(blocks - 1, 1)
+                each = np.repeat(np.arange(len(f)), copies)
+                turn = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+                other = np.where(blocks[each] > 1, turn + (turn >= own[each]), 0)
+                pair = np.minimum(own[each], other) * blocks[each] + np.maximum(own[each], other)
+                k = pa.array(row[f][each])
+                words = [h[i:j].tobytes() for i, j in zip(a, b)]
+                yield tv.batch_of(schema, lead[f][each], pair, piece.column(0).take(k), piece.column(1).take(k), lo[f][each].astype(np.int32), [words[i] for i in each])
 
-    return own.join(spots.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "spots").mapInArrow(part, "lead long, doc_id long, key long, first int, words binary")
+    return own.join(spots.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "spots").mapInArrow(part, "lead long, pair long, doc_id long, key long, first int, words binary")
 
 
 def marked(words: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -207,15 +222,15 @@ def _marked(words: list[np.ndarray]) -> list[tuple[int, int, int]]:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, and the repeated stretches of its words as [first, end), in order, for the documents that have any."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    segments = _segments(_own(docs)).repartition(parts, "lead").sortWithinPartitions("lead")
+    segments = _segments(_own(docs)).repartition(parts, "lead", "pair").sortWithinPartitions("lead", "pair")
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, lead = [], 0, None
+        held, total, now = [], 0, None
 
         def done() -> pa.RecordBatch:
             own: list[list] = []
-            for _, doc, key, first, w in sorted(held, key=lambda r: (r[1], r[2], r[3], -len(r[4]))):
+            for doc, key, first, w in sorted(held, key=lambda r: (r[0], r[1], r[2], -len(r[3]))):
                 # overlapping segments of a document are one, for a word is no repeat of itself; so are repeated rows
                 if own and own[-1][:2] == [doc, key] and first <= own[-1][2] + len(own[-1][3]):
                     own[-1][3] = np.concatenate([own[-1][3], w[own[-1][2] + len(own[-1][3]) - first :]])
@@ -225,14 +240,14 @@ def repeats(docs: DataFrame) -> DataFrame:
             return tv.batch_of(schema, [own[s][0] for s, _, _ in got], [own[s][1] for s, _, _ in got], [own[s][2] + a for s, a, _ in got], [own[s][2] + b for s, _, b in got])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for r in zip(*cols):
-                if r[0] != lead and total > BUNDLE:
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for lead, pair, *r in zip(*cols):
+                if (lead, pair) != now and total > BUNDLE:
                     yield done()
                     held, total = [], 0
-                lead = r[0]
-                held.append((*r[:4], np.frombuffer(r[4], np.uint64)))
-                total += len(r[4]) // 8
+                now = (lead, pair)
+                held.append((*r[:3], np.frombuffer(r[3], np.uint64)))
+                total += len(r[3]) // 8
         if held:
             yield done()
 

@@ -46,6 +46,17 @@ def test_matches_brute_force(spark):
     assert got == brute(docs)
 
 
+def test_blocks_of_a_large_group_find_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    voc = vocabulary(rng, "abcdefg", 500)
+    passage = [rng.choice(voc) for _ in range(70)]
+    docs = {i: " ".join([rng.choice(voc) for _ in range(rng.randint(0, 20))] + passage[rng.randint(0, 15) :] + [rng.choice(voc) for _ in range(rng.randint(0, 20))]) for i in range(40)}
+    df = frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])
+    monkeypatch.setattr(rp, "BLOCK", 700)
+    assert rp._segments(rp._own(df)).select("pair").distinct().count() > 3
+    assert {r.doc_id: [(s.first, s.end) for s in r.stretches] for r in rp.repeats(df).collect()} == brute(docs)
+
+
 def test_matching_statistics_are_exact():
     rng = np.random.default_rng(0)
     for trial in range(40):
