@@ -139,8 +139,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, limit
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component): undirected components, each named by its least id. Alternates large-star and small-star steps."""
+    edges = written(edges.select("src", "dst"), "edges")
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    e = written(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
+    e = edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     state, w = None, Window.partitionBy("u")
     while True:
         both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
