@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Every line of at least MIN_CHARS characters that more than one document holds links each later holder to the earliest
-one, however many holders there are: rare lines find the document that was copied from, and lines that thousands
-hold cost one link for each of them. Each linked pair is aligned with patience diff on line hashes: lines that are
+one first. What stays of such a line after that is linked to its next earlier holders, NEXT of them, then NEXT times as
+many a round, until it is deleted or has no earlier holder left. So a line of MIN_CHARS goes exactly if the alignment with
+any earlier document deletes it, yet lines that thousands hold mostly cost one link each. Each linked pair is aligned with patience diff on line hashes: lines that are
 unique in both are anchors, the longest increasing run of them is kept, and the gaps between are aligned in turn.
 Aligned blocks of MIN_CHARS characters or more are deleted from the later document; the earlier stays as it is.
 
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
 
 MIN_CHARS = 20
+NEXT = 8
 _NOT_NEWLINE = np.ones(256, bool)
 _NOT_NEWLINE[10] = False
 _BLANK = np.zeros(256, bool)
@@ -129,6 +131,31 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(part, "doc_id long, key long, h array<long>, n array<int>")
 
 
+def _aligned(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """gone and rest of each later document of pairs: the lines to delete, and (line, number) of what is left of its links."""
+    early = one.select(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("h").alias("e_h"))
+    both = pairs.join(early, ["e_id", "e_key"]).join(one, ["doc_id", "key"]).select("doc_id", "key", "e_h", "h", "n", "links")
+    rest = pa.list_(pa.struct([("line", pa.int64()), ("at", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.list_(pa.int32())), ("rest", rest)])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, rest = [], []
+            for e, h, n, links in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                gone.append(dropped(e, h, n))
+                rest.append(left(h, n, links, gone[-1]))
+            yield tv.batch_of(schema, batch.column(0), batch.column(1), gone, rest)
+
+    out = both.mapInArrow(part, "doc_id long, key long, gone array<int>, rest array<struct<line:bigint,at:int>>")
+    return out.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.array_distinct(F.flatten(F.collect_list("rest"))).alias("rest"))
+
+
+def left(h: list, n: list, links: list, gone: list) -> list[dict]:
+    """The lines among links, with their numbers, that aren't gone."""
+    known, gone = set(links), set(gone)
+    return [{"line": x, "at": i} for i, x in enumerate(h) if x in known and i not in gone]
+
+
 def deletions(docs: DataFrame) -> DataFrame:
     """doc_id, key and the sorted numbers of the lines to delete, for the documents that lose any."""
     lines = tv.written(lines_of(docs), "lines")
@@ -136,19 +163,26 @@ def deletions(docs: DataFrame) -> DataFrame:
     held = lines.select("doc_id", "key", F.explode(long).alias("line")).distinct()
     first = held.groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     pairs = held.join(first, "line").where(F.struct("doc_id", "key") > F.col("first"))
-    pairs = pairs.select("doc_id", "key", F.col("first.doc_id").alias("e_id"), F.col("first.key").alias("e_key")).distinct()
+    pairs = pairs.groupBy("doc_id", "key", F.col("first.doc_id").alias("e_id"), F.col("first.key").alias("e_key")).agg(F.collect_list("line").alias("links"))
     one = lines.dropDuplicates(["doc_id", "key"])
-    early = one.select(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("h").alias("e_h"))
-    both = pairs.join(early, ["e_id", "e_key"]).join(one, ["doc_id", "key"]).select("doc_id", "key", "e_h", "h", "n")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.list_(pa.int32()))])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [dropped(e, h, n) for e, h, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield tv.batch_of(schema, batch.column(0), batch.column(1), got)
-
-    gone = both.mapInArrow(part, "doc_id long, key long, gone array<int>").where(F.size("gone") > 0)
-    return gone.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    got = tv.written(_aligned(pairs, one), "aligned")
+    gone, past, more, holders = got.select("doc_id", "key", "gone"), 1, NEXT, None
+    while True:
+        # what is left of the lines that were linked, if they have further earlier holders
+        todo = got.select("doc_id", "key", F.explode(F.filter("rest", lambda x: ~F.array_contains(F.col("gone"), x["at"]))).alias("x")).select("doc_id", "key", "x.line").distinct()
+        if holders is None:
+            order = Window.partitionBy("line").orderBy("e_id", "e_key")
+            again = held.select("line", F.col("doc_id").alias("e_id"), F.col("key").alias("e_key")).join(todo.select("line").distinct(), "line", "left_semi")
+            holders = tv.written(again.withColumn("rank", F.row_number().over(order)), "holders")
+        pairs = todo.join(holders.where((F.col("rank") > past) & (F.col("rank") <= past + more)), "line").where(F.struct("doc_id", "key") > F.struct("e_id", "e_key"))
+        pairs = tv.written(pairs.groupBy("doc_id", "key", "e_id", "e_key").agg(F.collect_list("line").alias("links")), "links")
+        if pairs.isEmpty():
+            break
+        new = _aligned(pairs, one).join(gone.withColumnRenamed("gone", "before"), ["doc_id", "key"], "left")
+        got = tv.written(new.select("doc_id", "key", F.array_union("gone", F.coalesce("before", F.array().cast("array<int>"))).alias("gone"), "rest"), "aligned")
+        gone = tv.written(gone.join(got, ["doc_id", "key"], "left_anti").union(got.select("doc_id", "key", "gone")), "gone")
+        past, more = past + more, more * NEXT
+    return gone.where(F.size("gone") > 0).select("doc_id", "key", F.array_sort("gone").alias("gone"))
 
 
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:

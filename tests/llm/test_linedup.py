@@ -92,3 +92,31 @@ def test_awkward_rows(spark):
     assert len([r for r in got if r.doc_id in (3, 4, 5)]) == 3
     assert ld.dedup(docs).count() == docs.count()
     assert ld.stage(spark, frame(spark, []), "").count() == 0
+
+
+def brute_all(docs: list[tuple[int, str]]) -> dict[int, str]:
+    """Each later document aligned with every earlier one that shares a line of MIN_CHARS."""
+    out = {}
+    split = {i: [x.strip() for x in t.split("\n")] for i, t in docs}
+    for i, t in docs:
+        mine = {x for x in split[i] if len(x) >= ld.MIN_CHARS}
+        gone = set()
+        for j in (j for j in split if j < i and mine & set(split[j])):
+            gone |= set(ld.dropped(split[j], split[i], [len(x) for x in split[i]]))
+        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return out
+
+
+def test_lines_that_the_earliest_holder_has_elsewhere(spark):
+    turned, twice = "\n".join([D, C, B, A]), f"{A}\n{B}\n{A}"
+    for texts in ([f"{A}\n{B}\n{C}\n{D}", turned, turned], [A, twice, twice]):
+        out = {r.doc_id: r.lines_deleted for r in ld.dedup(frame(spark, rows(texts))).collect()}
+        assert out[2] == len(texts[2].split("\n"))
+
+
+def test_against_all_pairs(spark):
+    rng = random.Random(6)
+    pool = [f"Shared line {i} with enough characters in it" for i in range(12)]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"Own line {rng.random()} of document {i}" for _ in range(rng.randint(1, 9)))) for i in range(90)]
+    out = {r.doc_id: r.text for r in ld.dedup(frame(spark, rows([t for _, t in docs]))).collect()}
+    assert out == brute_all(docs)
