@@ -2,10 +2,13 @@
 
 A document's vector holds its byte 1- to 3-grams, hashed to DIM buckets, as log term frequency times inverse
 document frequency, normalised. Several clustered centroids stand for each language; the cosine to the nearest
-decides the language, and a document farther from it than texts of its length ever were in training is rejected.
+decides the language, and a document farther from it than nearly all held-out texts of its length is rejected: the bound
+of each octave of letters is the QUANTILE of the distances of labelled texts, and of pieces cut from longer ones to that
+length, that the centroids weren't fitted on.
 
 The document frequencies come from every document. The centroids are fitted on at most ``per_language`` labelled
-rows of each language (those with the smallest hash of doc_id), and the distance bounds on as many others.
+rows of each language (those with the smallest hash of doc_id), and the distance bounds on as many others, or on the same
+if no language has two rows.
 
 Defined results: a null or empty text, or one without letters, is rejected; null labels don't train; with no labelled
 row every document is rejected; repeated rows are judged one by one; extra columns pass through unchanged.
@@ -26,7 +29,9 @@ from tessella.llm import textvec as tv
 DIM = 4096
 PER_LANGUAGE = 300
 CLUSTERS = 4
-SIGMAS = 6.0
+QUANTILE = 0.995
+PIECE_OCTAVES = 13
+_LEAST = 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ROWS = 256
@@ -88,25 +93,44 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def _sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most 2 * per_language labelled rows of each language, as (language, letters, term counts)."""
+def cuts(text: str) -> list[str]:
+    """A piece of the text for each octave of letters below its own, from the start of a word."""
+    data = np.frombuffer((text or "").lower().encode("utf-8", "ignore"), np.uint8)
+    letter = _LETTER[data]
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(letter, out=before[1:])
+    start = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]])) if len(data) else np.zeros(0, np.int64)
+    rng = np.random.default_rng(int.from_bytes(blake2b(data.tobytes(), digest_size=8).digest(), "little"))
+    out = []
+    for k in range(PIECE_OCTAVES):
+        n = int(rng.integers(1 << k, 2 << k))
+        enough = start[before[start] + n <= before[-1]]
+        if before[-1] < 2 << k or not len(enough):
+            break
+        a = int(enough[rng.integers(len(enough))])
+        out.append(data[a : int(np.searchsorted(before, before[a] + n))].tobytes().decode("utf-8", "ignore"))
+    return out
+
+
+def _sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """At most 2 * per_language labelled rows of each language, as (language, letters, term counts, pieces)."""
     sizes = {r.lang: r.n for r in docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return np.array([], object), np.zeros(0), np.zeros((0, DIM), np.float32)
+        return np.array([], object), np.zeros(0), np.zeros((0, DIM), np.float32), []
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30))
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * per_language / n) * (1 << 30))))])
-    schema = pa.schema([("lang", pa.string()), ("letters", pa.int64()), ("tf", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("letters", pa.int64()), ("tf", pa.binary()), ("cuts", pa.list_(pa.string()))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tv.pieces(batch, "text", max_rows=_ROWS):
                 tf, letters = counts(piece.column(1))
-                yield tv.batch_of(schema, piece.column(0).cast(pa.string()), letters, [x.tobytes() for x in np.minimum(tf, 65535).astype(np.uint16)])
+                yield tv.batch_of(schema, piece.column(0).cast(pa.string()), letters, [x.tobytes() for x in np.minimum(tf, 65535).astype(np.uint16)], [cuts(x) for x in piece.column(1).to_pylist()])
 
     chosen = docs.where("lang is not null and text is not null").where(key < rate[F.col("lang")]).select("lang", "text")
-    rows = chosen.mapInArrow(part, "lang string, letters long, tf binary").collect()
+    rows = chosen.mapInArrow(part, "lang string, letters long, tf binary, cuts array<string>").collect()
     rows.sort(key=lambda r: (r.lang, blake2b(r.tf, digest_size=8).digest()))  # the same order however tasks end
-    return np.array([r.lang for r in rows], object), np.array([r.letters for r in rows]), np.array([np.frombuffer(bytes(r.tf), np.uint16) for r in rows], np.float32).reshape(len(rows), DIM)
+    return np.array([r.lang for r in rows], object), np.array([r.letters for r in rows]), np.array([np.frombuffer(bytes(r.tf), np.uint16) for r in rows], np.float32).reshape(len(rows), DIM), [r.cuts for r in rows]
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -132,29 +156,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
     """The model: idf, unit centroids, their languages, and the largest accepted distance for each octave of letters."""
     df, n = _frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    lang, letters, tf = _sample(docs, per_language)
+    lang, letters, tf, parts = _sample(docs, per_language)
     some = letters > 0
+    parts = [parts[i] for i in np.flatnonzero(some)]
     lang, letters, x = lang[some], letters[some], vectors(tf[some], idf)
-    cents, names = [], []
+    cents, names, held = [], [], np.zeros(len(x), bool)
     for k in sorted(set(lang)):
-        own = x[lang == k]
-        c = _clusters(own[: max(1, (len(own) + 1) // 2)], clusters)
+        own = np.flatnonzero(lang == k)
+        half = max(1, (len(own) + 1) // 2)
+        c = _clusters(x[own[:half]], clusters)
+        held[own[half:]] = True
         cents.append(c)
         names += [k] * len(c)
     cent = np.concatenate(cents).astype(np.float32) if cents else np.zeros((0, DIM), np.float32)
-    bound = np.full(21, np.nan)
-    if len(x) and len(cent):
-        d, o = 1 - (x @ cent.T).max(1), _octave(letters)
+    bound = np.full(21, 1.0)
+    if len(cent):
+        at = np.flatnonzero(held if held.any() else ~held)
+        d, o = [1 - (x[at] @ cent.T).max(1)], [_octave(letters[at])]
+        pieces = [t for i in at for t in parts[i]]
+        for i in range(0, len(pieces), _ROWS):
+            n, m = counts(pa.array(pieces[i : i + _ROWS], pa.string()))
+            d.append(1 - (vectors(n, idf)[m > 0] @ cent.T).max(1))
+            o.append(_octave(m[m > 0]))
+        d, o = np.concatenate(d), np.concatenate(o)
         for k in range(21):
-            near = d[abs(o - k) <= 1]
-            if len(near) >= 20:
-                bound[k] = near.mean() + SIGMAS * near.std()
-        known = np.flatnonzero(~np.isnan(bound))
-        if len(known) == 0:
-            bound[:] = d.mean() + SIGMAS * d.std()
-        else:
-            bound[: known[0]], bound[known[-1] :] = 1 - 1e-3, bound[known[-1]]
-            bound = np.interp(np.arange(21), np.flatnonzero(~np.isnan(bound)), bound[~np.isnan(bound)])
+            wide = np.sort(abs(o - k))[min(_LEAST, len(o)) - 1]  # the nearest octaves that hold enough
+            bound[k] = np.quantile(d[abs(o - k) <= wide], QUANTILE, method="higher")
     return {"idf": idf, "centroids": cent, "names": names, "bound": np.minimum(bound, 1 - 1e-3)}
 
 

@@ -64,3 +64,15 @@ def test_empty_and_unlabelled(spark, corpus):
     assert langid.stage(spark, none, "").count() == 0
     bare = frame(spark, rows(corpus[0][:5], [None] * 5))
     assert langid.stage(spark, bare, "").count() == 0
+
+
+@pytest.mark.parametrize("letters", [20, 60, 120])
+def test_foreign_and_junk_texts_of_any_length_are_rejected(spark, corpus, letters):
+    texts, langs = corpus
+    model = langid.fit(frame(spark, rows(texts[:240], langs[:240])), per_language=60)
+    rng = random.Random(letters)
+    junk = [" ".join("".join(rng.choice(s) for _ in range(5)) for _ in range(letters // 5)) for s in ("hijkmuvwxyz", "абвгдежзик") for _ in range(20)]
+    junk += ["".join(rng.choice(s) for _ in range(letters)) for s in ("的一是不了人我在", "ABCDXYZabcdhijkxyz0123456789+/") for _ in range(20)]
+    assert langid.predict(model, pa.array(junk))[2].mean() <= 0.02
+    clean = [t for x in texts[240:] for t in langid.cuts(x) if letters // 2 < langid.counts(pa.array([t]))[1][0] <= letters]
+    assert len(clean) > 60 and langid.predict(model, pa.array(clean))[2].mean() > 0.97
