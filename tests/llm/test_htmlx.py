@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import statistics
+import time
 
 from helpers import sentence, vocabulary
 
@@ -16,6 +19,73 @@ def page(rng: random.Random, voc: list[str]) -> tuple[str, str]:
     return html, "\n".join(body)
 
 
+def spelt(page: str) -> tuple[list[str], list[tuple[str, ...]]]:
+    """nodes(), with paths as tuples of tags."""
+    texts, at, paths = hx.nodes(page)
+    tags = {k: (above, tag) for (above, tag), k in paths.number.items()}
+
+    def path(k: int) -> tuple[str, ...]:
+        return path(tags[k][0]) + (tags[k][1],) if k else ()
+
+    return texts, [path(k) for k in at]
+
+
+def brute(page: str) -> str:
+    """Ratios, fusion, smoothing and threshold written out node by node."""
+    texts, paths = spelt(page)
+    texts = [hx.plain(t) for t in texts]
+    if len(set(paths)) < 2:
+        return "\n".join(texts)
+    fused = {}
+    for p in set(paths):
+        size = [len(t) for t, q in zip(texts, paths) if q == p]
+        marks = [len(hx._PUNCT.findall(t)) for t, q in zip(texts, paths) if q == p]
+        fused[p] = math.log1p(statistics.mean(size) * statistics.mean(marks) * ((1 + statistics.pstdev(size)) * (1 + statistics.pstdev(marks))) ** 0.5)
+    smooth = {p: [] for p in fused}
+    for i, p in enumerate(paths):
+        top = low = 0.0
+        for j in range(max(0, i - hx.RADIUS), min(len(paths), i + hx.RADIUS + 1)):
+            same = 0
+            for x, y in zip(p, paths[j]):
+                if x != y:
+                    break
+                same += 1
+            long = max(len(p), len(paths[j]))
+            w = math.exp(-((i - j) ** 2) / (2 * hx.SIGMA**2)) * ((same / long) ** hx.POWER if long else 1.0)
+            top, low = top + w * fused[paths[j]], low + w
+        smooth[p].append(top / low)
+    value = {p: statistics.mean(v) for p, v in smooth.items()}
+    least = min(value.values()) + hx.THRESHOLD * (max(value.values()) - min(value.values()))
+    return "\n".join(t for t, p in zip(texts, paths) if value[p] >= least - 1e-9)
+
+
+def test_against_brute_force():
+    rng = random.Random(12)
+    voc = vocabulary(rng, "abcdefghijkl", 200)
+    for _ in range(30):
+        html = page(rng, voc)[0]
+        assert hx.content(html) == brute(html)
+    tags = ["div", "p", "ul", "li", "b", "section", "td", "tr", "table", "x"]
+    for _ in range(150):
+        html = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", sentence(rng, rng.randint(1, 6), voc), "<br/>", "<"]) for _ in range(rng.randint(1, 60)))
+        assert hx.content(html) == brute(html)
+
+
+def test_long_pages_take_linear_time():
+    for part in ("<div>x, y.", '<a b="', '<a ">"', "</b><p>x", "<ul><li>x", "<p>a<div>b", "<!", "<script", "&#0", "<b/>x", "<!-- ", "</", "<a\n"):
+        began = time.process_time()
+        hx.content(part * 100_000)
+        hx.content(part * 100_000 + "'>")
+        assert time.process_time() - began < 20
+
+
+def test_what_never_closes():
+    assert hx.content("&#" + "9" * 6000 + "; a &#0000065; &#x42;") == "\ufffd a A B"
+    assert hx.content("a < b and c") == "a < b and c"
+    assert spelt('<p class="x>one</p><p>two')[0] == ["one", "two"]
+    assert spelt("one<p two")[0] == ["one<p two"] and spelt("one<p><!-- two")[0] == ["one"] and spelt("<script>x<p>y")[0] == []
+
+
 def test_content_of_generated_pages():
     rng = random.Random(11)
     voc = vocabulary(rng, "abcdefghijkl", 200)
@@ -29,7 +99,7 @@ def test_content_of_generated_pages():
 
 
 def test_paths_follow_html_rules():
-    texts, paths = hx.nodes("<div><p>a<p>b<b>c</p>d</div>e</x><li>f<li>g<img src='>'>h")
+    texts, paths = spelt("<div><p>a<p>b<b>c</p>d</div>e</x><li>f<li>g<img src='>'>h")
     assert texts == ["a", "b", "c", "d", "e", "f", "g", "h"]
     assert paths == [("div", "p"), ("div", "p"), ("div", "p", "b"), ("div",), (), ("li",), ("li",), ("li",)]
 
