@@ -1,17 +1,23 @@
 """Line dedup by pairwise alignment.
 
-Every line of at least MIN_CHARS characters that more than one document holds links each later holder to the earliest
-one first. What stays of such a line after that is linked to its next earlier holders, NEXT of them, then NEXT times as
-many a round, until it is deleted or has no earlier holder left. So a line of MIN_CHARS goes exactly if the alignment with
-any earlier document deletes it, yet lines that thousands hold mostly cost one link each. Each linked pair is aligned with patience diff on line hashes: lines that are
+Documents overlap where they share a block of consecutive lines of at least MIN_CHARS characters. Their keys are hashes of the
+shortest such runs of lines from each line on and up to each line; a line of MIN_CHARS is a run of its own. Every
+line of a block of MIN_CHARS lies in a key within that block, so documents that share no key have nothing to delete.
+A key links each later holder to the earliest one first. What stays of a key's lines after that is linked to its other earlier
+holders, by a hash that deals them out in slices of NEXT, then NEXT times as many a round, until it is deleted or no earlier
+holder is left. So a line goes exactly if the alignment with any earlier document deletes it, yet keys that
+thousands hold mostly cost one link each; only where such a line can't be aligned (its order or number differs from all)
+does it cost one for each earlier holder. Each linked pair is aligned with patience diff on line hashes: lines that are
 unique in both are anchors, the longest increasing run of them is kept, and the gaps between are aligned in turn.
 Aligned blocks of MIN_CHARS characters or more are deleted from the later document; the earlier stays as it is.
 
 Lines are compared without surrounding white space. A document is a doc_id with its text: documents are ordered by
 doc_id, then by hash of the text, and rows that repeat both are one document and are all treated alike.
 
-Defined results: rows with a null doc_id or text, and empty texts, come back unchanged with no lines deleted;
-extra columns are ignored by dedup() and pass through stage() unchanged; an empty table gives an empty table.
+Defined results: rows with a null doc_id or text, and empty texts, come back unchanged with no lines deleted; a very
+long text is aligned whole; of equal texts the one of least doc_id stays, of one doc_id with several texts the one of least
+hash; extra columns are ignored by dedup() and pass through stage() unchanged, whatever their names; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec as tv
@@ -117,72 +124,96 @@ def dropped(early: list, late: list, chars: list) -> list[int]:
     return out
 
 
+def keys_of(h: np.ndarray, n: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last line of the shortest runs of MIN_CHARS from each line on and up to each line, and their number by row."""
+    run = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    row = np.repeat(np.arange(len(per)), per)
+    end = np.cumsum(per)
+    at = np.arange(len(n))
+    on = np.searchsorted(run, run[:-1] + MIN_CHARS, "left") - 1  # the last line of the run that begins at each line
+    to = np.searchsorted(run, run[1:] - MIN_CHARS, "right") - 1  # the first line of the run that ends at each line
+    fore, back = on < end[row], to >= (end - per)[row]
+    pair = np.unique(np.concatenate([at[fore] * len(n) + on[fore], to[back] * len(n) + at[back]]))
+    a, b = (pair // len(n), pair % len(n)) if len(n) else (pair, pair)
+    first = (end - per)[row[a]] if len(a) else a
+    return tv.hashes(h.view(np.uint64), a, b + 1).view(np.int64), (a - first).astype(np.int32), (b - first).astype(np.int32), np.bincount(row[a], minlength=len(per))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of doc_id and text), h and n (hash and length of each line) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+    """doc_id, key (a hash of doc_id and text), h and n (hash and length of each line) and runs (the keys) of each document."""
+    run = pa.struct([("line", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("runs", pa.list_(run))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tv.pieces(batch, "text", max_rows=4096):
                 h, n, per = line_hashes(piece.column(2))
-                yield tv.batch_of(schema, piece.column(0), piece.column(1), tv.list_array(h, per, pa.int64()), tv.list_array(n, per, pa.int32()))
+                line, a, b, each = keys_of(h, n, per)
+                o = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
+                runs = pa.ListArray.from_arrays(o, pa.StructArray.from_arrays([pa.array(line), pa.array(a), pa.array(b)], fields=list(run)))
+                yield tv.batch_of(schema, piece.column(0), piece.column(1), tv.list_array(h, per, pa.int64()), tv.list_array(n, per, pa.int32()), runs)
 
     own = docs.where("doc_id is not null and text != ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
-    return own.mapInArrow(part, "doc_id long, key long, h array<long>, n array<int>")
+    return own.mapInArrow(part, "doc_id long, key long, h array<long>, n array<int>, runs array<struct<line:bigint,a:int,b:int>>")
 
 
 def _aligned(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """gone and rest of each later document of pairs: the lines to delete, and (line, number) of what is left of its links."""
+    """gone of each later document of pairs (doc_id, key, e_id, e_key): the lines to delete."""
     early = one.select(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("h").alias("e_h"))
-    both = pairs.join(early, ["e_id", "e_key"]).join(one, ["doc_id", "key"]).select("doc_id", "key", "e_h", "h", "n", "links")
-    rest = pa.list_(pa.struct([("line", pa.int64()), ("at", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.list_(pa.int32())), ("rest", rest)])
+    # the earlier document's lines join last, behind the last shuffle: very many may be linked to one
+    both = pairs.join(one.select("doc_id", "key", "h", "n"), ["doc_id", "key"]).join(early, ["e_id", "e_key"]).select("doc_id", "key", "e_h", "h", "n")
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, rest = [], []
-            for e, h, n, links in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                gone.append(dropped(e, h, n))
-                rest.append(left(h, n, links, gone[-1]))
-            yield tv.batch_of(schema, batch.column(0), batch.column(1), gone, rest)
+            gone = [dropped(e, h, n) for e, h, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield tv.batch_of(schema, batch.column(0), batch.column(1), gone)
 
-    out = both.mapInArrow(part, "doc_id long, key long, gone array<int>, rest array<struct<line:bigint,at:int>>")
-    return out.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.array_distinct(F.flatten(F.collect_list("rest"))).alias("rest"))
+    out = both.mapInArrow(part, "doc_id long, key long, gone array<int>").where(F.size("gone") > 0)
+    return out.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def left(h: list, n: list, links: list, gone: list) -> list[dict]:
-    """The lines among links, with their numbers, that aren't gone."""
-    known, gone = set(links), set(gone)
-    return [{"line": x, "at": i} for i, x in enumerate(h) if x in known and i not in gone]
+def _open(gone: Column, links: Column, past: int) -> Column:
+    """Those of links with a line that isn't gone, whose holders aren't all behind."""
+    return F.filter(links, lambda x: (x["n"] > past) & F.exists(F.sequence(x["a"], x["b"]), lambda i: ~F.array_contains(gone, i)))
 
 
 def deletions(docs: DataFrame) -> DataFrame:
     """doc_id, key and the sorted numbers of the lines to delete, for the documents that lose any."""
     lines = tv.written(lines_of(docs), "lines")
-    long = F.array_distinct(F.filter(F.zip_with("h", "n", lambda h, n: F.when(n >= MIN_CHARS, h)), lambda x: x.isNotNull()))
-    held = lines.select("doc_id", "key", F.explode(long).alias("line")).distinct()
-    first = held.groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    pairs = held.join(first, "line").where(F.struct("doc_id", "key") > F.col("first"))
-    pairs = pairs.groupBy("doc_id", "key", F.col("first.doc_id").alias("e_id"), F.col("first.key").alias("e_key")).agg(F.collect_list("line").alias("links"))
     one = lines.dropDuplicates(["doc_id", "key"])
-    got = tv.written(_aligned(pairs, one), "aligned")
-    gone, past, more, holders = got.select("doc_id", "key", "gone"), 1, NEXT, None
+    who = F.struct("doc_id", "key")
+    holds = lines.select("doc_id", "key", F.explode(F.array_distinct(F.col("runs.line"))).alias("line"))
+    first = holds.groupBy("line").agg(F.min(who).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    linked = lines.select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*").join(first, "line").where(who > F.col("first"))
+    linked = linked.groupBy("doc_id", "key", F.col("first.doc_id").alias("e_id"), F.col("first.key").alias("e_key")).agg(F.collect_set(F.struct("line", "a", "b", "n")).alias("links"))
+    linked = tv.written(linked, "links")
+    got = tv.written(_aligned(linked.drop("links"), one), "gone")
+    found, past, more, holders = [got], 1, NEXT, None
+    links = linked.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("links")).alias("links")).join(got, ["doc_id", "key"], "left")
+    none = F.array().cast("array<int>")
+    todo = links.select("doc_id", "key", F.coalesce("gone", none).alias("gone"), "links")
     while True:
-        # what is left of the lines that were linked, if they have further earlier holders
-        todo = got.select("doc_id", "key", F.explode(F.filter("rest", lambda x: ~F.array_contains(F.col("gone"), x["at"]))).alias("x")).select("doc_id", "key", "x.line").distinct()
-        if holders is None:
-            order = Window.partitionBy("line").orderBy("e_id", "e_key")
-            again = held.select("line", F.col("doc_id").alias("e_id"), F.col("key").alias("e_key")).join(todo.select("line").distinct(), "line", "left_semi")
-            holders = tv.written(again.withColumn("rank", F.row_number().over(order)), "holders")
-        pairs = todo.join(holders.where((F.col("rank") > past) & (F.col("rank") <= past + more)), "line").where(F.struct("doc_id", "key") > F.struct("e_id", "e_key"))
-        pairs = tv.written(pairs.groupBy("doc_id", "key", "e_id", "e_key").agg(F.collect_list("line").alias("links")), "links")
-        if pairs.isEmpty():
+        # what is left of the keys, if they have further holders
+        todo = tv.written(todo.select("doc_id", "key", "gone", _open(F.col("gone"), F.col("links"), past).alias("links")).where(F.size("links") > 0), "left")
+        if todo.isEmpty():
             break
-        new = _aligned(pairs, one).join(gone.withColumnRenamed("gone", "before"), ["doc_id", "key"], "left")
-        got = tv.written(new.select("doc_id", "key", F.array_union("gone", F.coalesce("before", F.array().cast("array<int>"))).alias("gone"), "rest"), "aligned")
-        gone = tv.written(gone.join(got, ["doc_id", "key"], "left_anti").union(got.select("doc_id", "key", "gone")), "gone")
+        each = todo.select("doc_id", "key", F.explode(F.col("links.line")).alias("line")).distinct()
+        if holders is None:
+            # a place among the n holders by hash: slices of any size without ranking very many holders in one task
+            place = (F.pmod(F.xxhash64("line", "doc_id", "key"), F.lit(1 << 30)) * F.col("n") / F.lit(1 << 30)).cast("long")
+            again = holds.join(first, "line").join(each.select("line").distinct(), "line", "left_semi")
+            holders = tv.written(again.select("line", F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), place.alias("place")).distinct(), "holders")
+        low = 0 if past == 1 else past
+        pairs = each.join(holders.where((F.col("place") >= low) & (F.col("place") < past + more)), "line").where(who > F.struct("e_id", "e_key"))
+        new = tv.written(_aligned(pairs.select("doc_id", "key", "e_id", "e_key").distinct(), one), "gone")
+        found.append(new)
         past, more = past + more, more * NEXT
-    return gone.where(F.size("gone") > 0).select("doc_id", "key", F.array_sort("gone").alias("gone"))
+        todo = todo.join(new.withColumnRenamed("gone", "new"), ["doc_id", "key"], "left").select("doc_id", "key", F.array_union("gone", F.coalesce("new", none)).alias("gone"), "links")
+    if len(found) == 1:
+        return got.select("doc_id", "key", F.array_sort("gone").alias("gone"))
+    every = reduce(DataFrame.union, found).groupBy("doc_id", "key")
+    return every.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:

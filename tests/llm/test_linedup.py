@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import awkward, frame, rows
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -14,13 +16,12 @@ A, B, C, D = (f"This is a whole line number {x} of some text." for x in "abcd")
 
 
 def brute(docs: list[tuple[int, str]]) -> dict[int, str]:
-    """Each later document aligned with the earliest holder of every line that it shares."""
+    """Each document aligned with every earlier one."""
     out = {}
     split = {i: [x.strip() for x in t.split("\n")] for i, t in docs}
     for i, t in docs:
-        early = {min(j for j, ls in split.items() if x in ls) for x in split[i] if len(x) >= ld.MIN_CHARS}
         gone = set()
-        for j in early - {i}:
+        for j in (j for j in split if j < i):
             gone |= set(ld.dropped(split[j], split[i], [len(x) for x in split[i]]))
         out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     return out
@@ -53,14 +54,35 @@ def test_line_hashes_ignore_surrounding_space():
     assert h[2] == h[4] == h[5]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("pool", ["long", "short", "both"])
+def test_against_brute_force(spark, pool):
     rng = random.Random(4)
-    pool = [f"Shared line {i} with enough characters in it" for i in range(12)] + ["short", ""]
-    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"Own line {rng.random()} of document {i}" for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    long = [f"Shared line {i} with enough characters in it" for i in range(12)]
+    short = [f"verse {i}" for i in range(8)] + ["", "ok"]
+    pool = {"long": [*long, "short", ""], "short": short, "both": long[:5] + short}[pool]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"Own {rng.random() if rng.random() < 0.5 else rng.randint(0, 9)}" for _ in range(rng.randint(1, 9)))) for i in range(100)]
     out = {r.doc_id: r.text for r in ld.dedup(frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs])).collect()}
     assert out == brute(docs)
 
 
+@settings(max_examples=300, deadline=None)
+@given(hs.lists(hs.integers(0, 30), max_size=15), hs.integers(0, 14), hs.integers(1, 15))
+def test_every_line_of_a_block_lies_in_a_key_within_it(n, first, size):
+    h = np.arange(7, 7 + len(n))
+    _, a, b, per = ld.keys_of(h, np.array(n, np.int32), np.array([0, len(n)]))
+    assert per.tolist() == [0, len(a)] and all(sum(n[i : j + 1]) >= ld.MIN_CHARS for i, j in zip(a, b))
+    block = range(first, min(first + size, len(n)))
+    if sum(n[i] for i in block) >= ld.MIN_CHARS:
+        keys = [(i, j) for i, j in zip(a, b) if i >= block[0] and j <= block[-1]]
+        assert all(any(i <= x <= j for i, j in keys) for x in block)
+
+
+def test_equal_runs_have_equal_keys():
+    text = "own\nverse one\nverse two\nverse three\nelse"
+    k = [ld.keys_of(*ld.line_hashes(pa.array([t]))) for t in (text, "verse two\n verse three\nx")]
+    assert len(set(k[0][0].tolist()) & set(k[1][0].tolist())) == 1
+
+
 def test_stage_drops_whole_copies_and_keeps_the_rest(spark):
     docs = frame(spark, rows([f"{A}\n{B}", f"{C}\n{A}\n{B}\n{D}", f"{A}\n{B}", f"Fresh text that stands alone here\n{B}"]))
     out = {r.doc_id: r for r in ld.stage(spark, docs, "").collect()}
@@ -94,29 +116,8 @@ def test_awkward_rows(spark):
     assert ld.stage(spark, frame(spark, []), "").count() == 0
 
 
-def brute_all(docs: list[tuple[int, str]]) -> dict[int, str]:
-    """Each later document aligned with every earlier one that shares a line of MIN_CHARS."""
-    out = {}
-    split = {i: [x.strip() for x in t.split("\n")] for i, t in docs}
-    for i, t in docs:
-        mine = {x for x in split[i] if len(x) >= ld.MIN_CHARS}
-        gone = set()
-        for j in (j for j in split if j < i and mine & set(split[j])):
-            gone |= set(ld.dropped(split[j], split[i], [len(x) for x in split[i]]))
-        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-    return out
-
-
 def test_lines_that_the_earliest_holder_has_elsewhere(spark):
     turned, twice = "\n".join([D, C, B, A]), f"{A}\n{B}\n{A}"
     for texts in ([f"{A}\n{B}\n{C}\n{D}", turned, turned], [A, twice, twice]):
         out = {r.doc_id: r.lines_deleted for r in ld.dedup(frame(spark, rows(texts))).collect()}
         assert out[2] == len(texts[2].split("\n"))
-
-
-def test_against_all_pairs(spark):
-    rng = random.Random(6)
-    pool = [f"Shared line {i} with enough characters in it" for i in range(12)]
-    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"Own line {rng.random()} of document {i}" for _ in range(rng.randint(1, 9)))) for i in range(90)]
-    out = {r.doc_id: r.text for r in ld.dedup(frame(spark, rows([t for _, t in docs]))).collect()}
-    assert out == brute_all(docs)
