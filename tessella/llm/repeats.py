@@ -4,20 +4,25 @@
    Any LEAST equal words hold an equal chosen window, so windows chosen only once in the corpus can be left out
    without missing a repeat; there are no other shortcuts and no limits on how often a window occurs.
 2. Around the windows that occur again, each document is cut into segments that reach LEAST words to both sides, one for
-   each earliest document that its windows lead to. All segments that lead to one document come together (very many of
-   them in blocks, every two of which meet); overlapping segments of a document that meet are one.
+   each earliest document that its windows lead to. All segments that lead to one document come together, very many of
+   them in blocks by doc_id; overlapping segments of a document that meet are one.
 3. Those, end to end with a separator of its own behind each, form a text whose Burrows-Wheeler transform consists of
    few long runs. The index keeps the runs and samples the text positions at their ends. Where a run begins, the
    suffix and its neighbour before it in sorted order part after a length that is stored with the sample (as for the
    neighbour behind it at run ends). Matching statistics stream from there: from a sample to the next, the length of
    the longest match drops by one with each word, for within a run the neighbours advance side by side.
    Positions with a match of LEAST words or more, and the words it covers, are marked.
+4. Blocks of one group meet by what is left: each names its distinct runs of LEAST words once, with their place if the block
+   holds them only there, and runs that another block (or another place) has, too, are marked. A passage that very many
+   documents hold is one such run a block, so work and shuffle grow with the number of its holders, not with their pairs.
 
 Segments with the same words are indexed once; they are repeats from end to end. Words are compared by 64-bit hash, lower-cased and
 without punctuation between them.
 
-Defined results: null, empty and short texts have no repeats, nor do rows with a null doc_id; rows with the same
-doc_id and text are one document (a passage repeated within a document counts); extra columns are ignored.
+Defined results: null, empty and short texts have no repeats, nor do rows with a null doc_id; a very long text is treated
+whole; rows with the same doc_id and text are one document (a passage repeated within a document counts, and both
+copies of a passage are marked, whichever came first); extra columns are ignored, whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -139,18 +144,17 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def _segments(own: DataFrame) -> DataFrame:
-    """(lead, pair, doc_id, key, first, words): segments around windows that occur again, and the document they lead to.
+    """(lead, block, blocks, doc_id, key, first, words): segments around windows that occur again, and the document they lead to.
 
-    Where more segments lead to a document than a task should hold, they are cut into k blocks by doc_id, and each goes to
-    every pair that its block is in, so that any two still meet.
+    Where more segments lead to a document than a task should hold, they are dealt out to blocks by doc_id.
     """
     found = _anchors(own).distinct()
     # an anchor's rows come together once; those of one row have no other to lead to
     hot = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    most = F.max("n").over(Window.partitionBy("lead"))
-    hot = hot.select("hash", "lead", F.ceil(most * F.lit(LEAST + K) / F.lit(BLOCK)).cast("int").alias("k"))
+    places = F.sum("n").over(Window.partitionBy("lead"))  # a lead has no more windows than words
+    hot = hot.select("hash", "lead", F.ceil(places * F.lit(LEAST - K + 10) / F.lit(BLOCK)).cast("int").alias("k"))
     spots = found.join(hot, "hash").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("lead", "at", "k"))).alias("spots"))
-    schema = pa.schema([("lead", pa.int64()), ("pair", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("lead", pa.int64()), ("block", pa.int64()), ("blocks", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,16 +176,10 @@ def _segments(own: DataFrame) -> DataFrame:
                 a, b = base[row[f]] + lo[f], base[row[f]] + hi[t]
                 ids, blocks = piece.column(0).to_numpy(), s.field(2).to_numpy().astype(np.int64)[f]
                 own = (tv.mix(ids[row[f]].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                copies = np.maximum(blocks - 1, 1)
-                each = np.repeat(np.arange(len(f)), copies)
-                turn = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
-                other = np.where(blocks[each] > 1, turn + (turn >= own[each]), 0)
-                pair = np.minimum(own[each], other) * blocks[each] + np.maximum(own[each], other)
-                k = pa.array(row[f][each])
-                words = [h[i:j].tobytes() for i, j in zip(a, b)]
-                yield tv.batch_of(schema, lead[f][each], pair, piece.column(0).take(k), piece.column(1).take(k), lo[f][each].astype(np.int32), [words[i] for i in each])
+                k = pa.array(row[f])
+                yield tv.batch_of(schema, lead[f], own, blocks, piece.column(0).take(k), piece.column(1).take(k), lo[f].astype(np.int32), [h[i:j].tobytes() for i, j in zip(a, b)])
 
-    return own.join(spots.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "spots").mapInArrow(part, "lead long, pair long, doc_id long, key long, first int, words binary")
+    return own.join(spots.hint("shuffle_hash"), ["doc_id", "key"]).select("doc_id", "key", "text", "spots").mapInArrow(part, "lead long, block long, blocks long, doc_id long, key long, first int, words binary")
 
 
 def marked(words: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -219,39 +217,67 @@ def _marked(words: list[np.ndarray]) -> list[tuple[int, int, int]]:
     return list(zip(seg[f].tolist(), (hit[f] - first[seg[f]]).tolist(), (reach[t] - first[seg[f]]).tolist()))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, and the repeated stretches of its words as [first, end), in order, for the documents that have any."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    segments = _segments(_own(docs)).repartition(parts, "lead", "pair").sortWithinPartitions("lead", "pair")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+def runs_of(segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, segment, first word, places) of the distinct runs of LEAST words; of several places, one is given."""
+    size = np.array([len(w) for w in segments])
+    g, at = tv.grams(np.concatenate(segments), size, LEAST)
+    g, one, n = np.unique(g, return_index=True, return_counts=True)
+    first = np.cumsum(size) - size
+    seg = np.searchsorted(first, at[one], "right") - 1
+    return g, seg, at[one] - first[seg], n
+
+
+def _marks(segments: DataFrame) -> DataFrame:
+    """Of each group of segments, the stretches (doc_id, key, first, end; places null) and, where it has several blocks,
+    the distinct runs of LEAST words (run, their number of places and, if that is 1, the place)."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block")
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("run", pa.int64()), ("places", pa.int64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, now = [], 0, None
 
-        def done() -> pa.RecordBatch:
+        def done() -> Iterator[pa.RecordBatch]:
             own: list[list] = []
-            for doc, key, first, w in sorted(held, key=lambda r: (r[0], r[1], r[2], -len(r[3]))):
+            for doc, key, first, w, several in sorted(held, key=lambda r: (r[0], r[1], r[2], -len(r[3]))):
                 # overlapping segments of a document are one, for a word is no repeat of itself; so are repeated rows
                 if own and own[-1][:2] == [doc, key] and first <= own[-1][2] + len(own[-1][3]):
                     own[-1][3] = np.concatenate([own[-1][3], w[own[-1][2] + len(own[-1][3]) - first :]])
+                    own[-1][4] |= several
                 else:
-                    own.append([doc, key, first, w])
+                    own.append([doc, key, first, w, several])
             got = marked([r[3] for r in own])
-            return tv.batch_of(schema, [own[s][0] for s, _, _ in got], [own[s][1] for s, _, _ in got], [own[s][2] + a for s, a, _ in got], [own[s][2] + b for s, _, b in got])
+            none = [None] * len(got)
+            yield tv.batch_of(schema, [own[s][0] for s, _, _ in got], [own[s][1] for s, _, _ in got], [own[s][2] + a for s, a, _ in got], [own[s][2] + b for s, _, b in got], none, none)
+            meet = [r for r in own if r[4] and len(r[3]) >= LEAST]
+            if meet:
+                g, seg, at, n = runs_of([r[3] for r in meet])
+                doc, key, base = (np.array([r[i] for r in meet], np.int64)[seg] for i in range(3))
+                place = [pa.array(x, mask=n > 1) for x in (doc, key)] + [pa.array((base + at + d).astype(np.int32), mask=n > 1) for d in (0, LEAST)]
+                yield tv.batch_of(schema, *place, g.view(np.int64), n)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for lead, pair, *r in zip(*cols):
-                if (lead, pair) != now and total > BUNDLE:
-                    yield done()
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for lead, block, blocks, *r in zip(*cols):
+                if (lead, block) != now and total > BUNDLE:
+                    yield from done()
                     held, total = [], 0
-                now = (lead, pair)
-                held.append((*r[:3], np.frombuffer(r[3], np.uint64)))
+                now = (lead, block)
+                held.append((*r[:3], np.frombuffer(r[3], np.uint64), blocks > 1))
                 total += len(r[3]) // 8
         if held:
-            yield done()
+            yield from done()
 
-    found = segments.mapInArrow(part, "doc_id long, key long, first int, end int")
+    return segments.mapInArrow(part, "doc_id long, key long, first int, end int, run long, places long")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, and the repeated stretches of its words as [first, end), in order, for the documents that have any."""
+    marks = tv.written(_marks(_segments(_own(docs))), "marks")
+    runs = marks.where("places is not null").distinct()  # segments that lead elsewhere may give a place again
+    again = runs.groupBy("run").agg(F.sum("places").alias("n")).where("n > 1").select("run")
+    across = runs.where("places = 1").join(again, "run").select("doc_id", "key", "first", "end")
+    found = marks.where("places is null").select("doc_id", "key", "first", "end").union(across)
     merged = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"))
     join = F.aggregate(
         "s",

@@ -46,17 +46,38 @@ def test_matches_brute_force(spark):
     assert got == brute(docs)
 
 
-def test_blocks_of_a_large_group_find_the_same(spark, monkeypatch):
-    rng = random.Random(15)
+def blocks_corpus(n: int, seed: int = 15) -> dict[int, str]:
+    rng = random.Random(seed)
     voc = vocabulary(rng, "abcdefg", 500)
-    passage = [rng.choice(voc) for _ in range(70)]
-    docs = {i: " ".join([rng.choice(voc) for _ in range(rng.randint(0, 20))] + passage[rng.randint(0, 15) :] + [rng.choice(voc) for _ in range(rng.randint(0, 20))]) for i in range(40)}
+    passage, other = ([rng.choice(voc) for _ in range(k)] for k in (70, 90))
+    make = lambda k: [rng.choice(voc) for _ in range(rng.randint(0, k))]
+    docs = {i: " ".join(make(20) + passage[rng.randint(0, 15) :] + make(20) + (other if rng.random() < 0.1 else [])) for i in range(n)}
+    docs[n] = " ".join(passage + other + passage)
+    return docs
+
+
+def test_blocks_of_a_large_group_find_the_same(spark, monkeypatch):
+    docs = blocks_corpus(60)
     df = frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])
     monkeypatch.setattr(rp, "BLOCK", 700)
-    assert rp._segments(rp._own(df)).select("pair").distinct().count() > 3
+    monkeypatch.setattr(rp, "BUNDLE", 300)
+    assert rp._segments(rp._own(df)).select("lead", "block").distinct().count() > 5
     assert {r.doc_id: [(s.first, s.end) for s in r.stretches] for r in rp.repeats(df).collect()} == brute(docs)
 
 
+def test_a_passage_that_very_many_hold_takes_linear_work(spark, monkeypatch):
+    """Rows and words that are shuffled, with the number of holders."""
+    monkeypatch.setattr(rp, "BLOCK", 20_000)
+    seen = []
+    for n in (2_000, 8_000):
+        docs = blocks_corpus(n, 16)
+        segments = rp._segments(rp._own(frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])))
+        marks = rp._marks(segments)
+        seen.append((segments.select("block").distinct().count(), segments.count(), segments.selectExpr("sum(length(words))").first()[0], marks.where("places is not null").count()))
+    assert seen[1][0] > 2 * seen[0][0] > 8
+    assert all(b < 4.3 * a for a, b in zip(seen[0][1:], seen[1][1:]))
+
+
 def test_matching_statistics_are_exact():
     rng = np.random.default_rng(0)
     for trial in range(40):
