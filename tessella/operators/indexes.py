@@ -50,6 +50,7 @@ class TextIndex(_Index):
     def __init__(self, spark: SparkSession, analyzer: str = "default", table: DataFrame | None = None):
         super().__init__(spark, table if table is not None else spark.createDataFrame([], "_id string, tokens array<string>"))
         self.analyzer = text.analyzer(analyzer)
+        self.inverted: tuple[DataFrame, text.Postings] | None = None  # of which table
 
     def upsert(self, key: str, body: str) -> None:
         self.pending[key] = (text.tokens_of(body, self.analyzer),)
@@ -59,7 +60,9 @@ class TextIndex(_Index):
         self.upsert_table(text.index(docs, field, self.analyzer))
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
-        return text.search(self.table, query, limit, self.analyzer)
+        if self.inverted is None or self.inverted[0] is not self.table:
+            self.inverted = self.table, text.postings(self.table)
+        return text.search(self.inverted[1], query, limit, self.analyzer)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: str = "default") -> TextIndex:

@@ -1,26 +1,30 @@
-"""Ranked full-text search (BM25) in one scan: no explode, no join.
+"""Ranked full-text search (BM25) over an inverted index.
 
-A document's tokens, their number and the counts of the query's terms are built-in expressions over its text; one
-aggregate gives the corpus figures, and a second pass scores and keeps the top rows. An index is the table of
-tokens, written once.
+The index has a row for each occurrence of a term: (term, _id, dl, pos), sorted by term in every file, so that a search reads the
+row groups of its own terms alone; the number of documents and words is observed while it is written. It takes one shuffle,
+by term and a salt, so a frequent term is spread over tasks. A search gathers its terms' rows by document and keeps the top rows.
 
-Query strings hold terms (any of them matches), ``+must`` and ``-mustn't`` terms, "phrases", and ``AND``, ``OR``, ``NOT``
-between them: AND makes both neighbours compulsory, NOT excludes what follows. ``^2`` behind a term or phrase boosts it.
+Query strings hold terms (any of them matches), ``+must`` and ``-mustn't`` terms, "phrases", (groups), and ``AND``, ``OR``, ``NOT``
+between them: NOT binds tightest, then AND, then OR. ``^2`` behind a term, phrase or group boosts it. A phrase weighs as much as
+its words' rarities together. What excludes alone finds nothing.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.errors import QueryError
 from tessella.functions import codetokens, stemming
+from tessella.sources.snapshots import written
 
 K1, B = 1.2, 0.75
+SALT = 16  # the tasks that share a term
 LANGUAGES = {"english": "en", "spanish": "es", "french": "fr", "german": "de", "italian": "it", "portuguese": "pt", "russian": "ru"}
 _WORDS = r"[^\p{L}\p{N}]+"
 
@@ -58,30 +62,91 @@ def tokens_of(text: str, name: str = "default") -> list[str]:
 
 
 @dataclass(frozen=True)
-class Clause:
+class Leaf:
     terms: tuple[str, ...]  # more than one: a phrase
-    need: str = "should"  # should, must, not
     boost: float = 1.0
 
 
-def parse_query(query: str, name: str = "default") -> list[Clause]:
-    out: list[Clause] = []
-    mode = None
-    for sign, phrase, word, boost in re.findall(r'([+-]?)(?:"([^"]*)"|([^\s"^]+))(?:\^(\d+(?:\.\d+)?))?', query):
-        if not sign and word in ("AND", "OR", "NOT"):
-            mode = "not" if word == "NOT" else ("must" if word == "AND" else mode and None)
-            if word == "AND" and out and out[-1].need == "should":
-                out[-1] = Clause(out[-1].terms, "must", out[-1].boost)
-            continue
-        got = tuple(tokens_of(phrase or word.strip("()"), name))
-        need = {"+": "must", "-": "not"}.get(sign) or mode or "should"
-        mode = None
-        if not got:
-            continue
-        out.append(Clause(got, need, float(boost or 1)))
+@dataclass(frozen=True)
+class Group:
+    parts: tuple[tuple[str, Leaf | Group], ...]  # "should", "must" or "not", and what
+    boost: float = 1.0
+
+
+_LEXEME = re.compile(r'\s*(?:(?P<sign>[+-])(?=[^\s)])|(?P<open>\()|(?P<close>\))|"(?P<phrase>[^"]*)"|\^(?P<boost>\d+(?:\.\d+)?)|(?P<word>[^\s()"^]+)|(?P<bad>\S))')
+
+
+def parse_query(query: str, name: str = "default") -> Group:
+    found = [(m.lastgroup, m.group(m.lastgroup)) for m in _LEXEME.finditer(query) if m.lastgroup]
+    at = 0
+
+    def peek() -> tuple[str, str]:
+        return found[at] if at < len(found) else ("end", "")
+
+    def take() -> tuple[str, str]:
+        nonlocal at
+        at += 1
+        return found[at - 1]
+
+    def either() -> Group:
+        """What stands side by side or between ORs."""
+        parts: list[tuple[str, Leaf | Group]] = []
+        while peek()[0] not in ("end", "close"):
+            if peek() == ("word", "OR"):
+                take()
+                continue
+            both = [one()]
+            while peek() == ("word", "AND"):
+                take()
+                if peek()[0] in ("end", "close"):
+                    raise QueryError("a search ends with AND")
+                both.append(one())
+            both = [(need, x) for need, x in both if x is not None]
+            if len(both) > 1:
+                parts.append(("should", Group(tuple(("not" if need == "not" else "must", x) for need, x in both))))
+            else:
+                parts += both
+        return Group(tuple(parts))
+
+    def one() -> tuple[str, Leaf | Group | None]:
+        need = "should"
+        while True:
+            if peek() == ("word", "NOT"):
+                take()
+                need = "should" if need == "not" else "not"
+            elif peek()[0] == "sign":
+                need = "must" if take()[1] == "+" else "not"
+            else:
+                break
+        kind, value = take() if peek()[0] != "end" else ("end", "")
+        out: Leaf | Group | None
+        if kind == "open":
+            out = either()
+            if peek()[0] != "close":
+                raise QueryError("a search has an open parenthesis")
+            take()
+            if not out.parts:
+                out = None
+        elif kind in ("word", "phrase"):
+            got = tuple(tokens_of(value, name))
+            out = Leaf(got) if got else None
+        else:
+            raise QueryError(f"a search has {value!r} where a term is due" if value else "a search ends where a term is due")
+        if peek()[0] == "boost":
+            by = float(take()[1])
+            out = out and replace(out, boost=by)
+        return need, out
+
+    out = either()
+    if at < len(found):
+        raise QueryError("a search has a parenthesis that closes nothing")
     return out
 
 
+def _leaves(node: Leaf | Group) -> list[Leaf]:
+    return [node] if isinstance(node, Leaf) else [x for _, part in node.parts for x in _leaves(part)]
+
+
 def index(docs: DataFrame, field: str, name: str = "default") -> DataFrame:
     """(_id, tokens) of the documents whose field is a text."""
     kind = docs.schema[field].dataType.simpleString() if field in docs.columns else None
@@ -95,32 +160,52 @@ def index(docs: DataFrame, field: str, name: str = "default") -> DataFrame:
     return rows.select("_id", tokens(F.col("_text"), name).alias("tokens"))
 
 
-def _frequency(terms: tuple[str, ...]) -> Column:
-    """How often a term, or a phrase, occurs in tokens."""
-    t = F.col("tokens")
-    if len(terms) == 1:
-        return F.size(F.filter(t, lambda x: x == terms[0]))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, (i - 1 + k).cast("int")) == w, F.lit(False)) for k, w in enumerate(terms)]))
-    return F.size(at)
+@dataclass(frozen=True)
+class Postings:
+    rows: DataFrame  # term, _id, dl, pos
+    documents: int
+    words: int
+
+
+def postings(idx: DataFrame) -> Postings:
+    """The inverted index of (_id, tokens), written."""
+    seen = Observation()
+    rows = idx.select("_id", "tokens", F.size("tokens").alias("dl")).observe(seen, F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("words"))
+    each = rows.select("_id", "dl", F.posexplode("tokens").alias("pos", "term")).select("term", "_id", "dl", "pos")
+    parts = int(idx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = written(each.repartition(parts, "term", F.pmod(F.xxhash64("_id"), F.lit(SALT))).sortWithinPartitions("term", "_id"), "postings")
+    return Postings(table, seen.get["documents"], seen.get["words"])
 
 
-def search(idx: DataFrame, query: str, limit: int, name: str = "default") -> DataFrame:
+def search(idx: DataFrame | Postings, query: str, limit: int, name: str = "default") -> DataFrame:
     """(_id, score) of the best documents of an index, the highest score first, then by id."""
-    clauses = parse_query(query, name)
-    wanted = [c for c in clauses if c.need != "not"]
-    if not wanted:
-        return idx.where(F.lit(False)).select("_id", F.lit(0.0).alias("score"))
-    rows = idx.select("_id", F.size("tokens").alias("dl"), *[_frequency(c.terms).alias(f"tf{i}") for i, c in enumerate(clauses)])
-    corpus = rows.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(clauses))])
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i, c in enumerate(clauses) if c.need != "not"])
-    for i, c in enumerate(clauses):
-        if c.need != "should":
-            hit = hit & ((F.col(f"tf{i}") > 0) if c.need == "must" else (F.col(f"tf{i}") == 0))
-    score = F.lit(0.0)
-    for i, c in enumerate(clauses):
-        if c.need != "not":
-            tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-            idf = F.log1p((F.col("total") - df + 0.5) / (df + 0.5))
-            score = score + c.boost * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # corpus is one row
-    return rows.where(hit).crossJoin(F.broadcast(corpus)).select("_id", score.alias("score")).orderBy(F.col("score").desc(), "_id").limit(limit)
+    tree = parse_query(query, name)
+    leaves = _leaves(tree)
+    if isinstance(idx, DataFrame):
+        idx = postings(idx)
+    terms = {t: f"t{i}" for i, t in enumerate(sorted({t for x in leaves for t in x.terms}))}
+    inside = {t for x in leaves if len(x.terms) > 1 for t in x.terms}
+    if not terms or not idx.words:
+        return idx.rows.where(F.lit(False)).select("_id", F.lit(0.0).alias("score"))
+    here = {t: F.col("term") == t for t in terms}
+    counts = [F.count_if(here[t]).alias(c) for t, c in terms.items()]
+    places = [F.collect_list(F.when(here[t], F.col("pos"))).alias(terms[t] + "p") for t in sorted(inside)]
+    docs = idx.rows.where(F.col("term").isin(list(terms))).groupBy("_id").agg(F.first("dl").alias("dl"), *counts, *places)
+    corpus = docs.agg(*[F.count_if(F.col(c) > 0).alias(c + "n") for c in terms.values()])  # one row
+    rarity = {t: F.log1p((idx.documents - F.col(c + "n") + 0.5) / (F.col(c + "n") + 0.5)) for t, c in terms.items()}
+
+    def judge(node: Leaf | Group) -> tuple[Column, Column]:
+        """Whether it matches, and its score where it does."""
+        if isinstance(node, Leaf):
+            at = [F.col(terms[t] + "p") for t in node.terms] if len(node.terms) > 1 else []
+            tf = F.size(F.filter(at[0], lambda p: reduce(and_, [F.array_contains(x, (p + k).cast("int")) for k, x in enumerate(at) if k]))) if at else F.col(terms[node.terms[0]])
+            idf = reduce(add, [rarity[t] for t in node.terms])
+            return tf > 0, node.boost * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(idx.words / idx.documents)))
+        got = [(need, *judge(x)) for need, x in node.parts]
+        must, should, never = ([m for need, m, _ in got if need == k] for k in ("must", "should", "not"))
+        hit = reduce(and_, must) if must else reduce(or_, should) if should else F.lit(False)
+        hit = reduce(lambda a, m: a & ~m, never, hit)
+        return hit, node.boost * reduce(add, [F.when(m, s).otherwise(0.0) for need, m, s in got if need != "not"], F.lit(0.0))
+
+    hit, score = judge(tree)
+    return docs.crossJoin(F.broadcast(corpus)).where(hit).select("_id", score.alias("score")).orderBy(F.col("score").desc(), "_id").limit(limit)

@@ -116,15 +116,18 @@ class Engine:
                 return i
         raise QueryError(f"no {'full-text' if kind == 'fulltext' else 'vector'} index defined on {table}.{field}")
 
-    def _built(self, i: Index) -> DataFrame:
-        """The index's table for the present version of its table, written when first asked for."""
+    def _built(self, i: Index) -> Any:
+        """The index for the present version of its table, written when first asked for."""
         key = (i.name, i.table)
         version = self.catalog.version(i.table)
         found = self.catalog.built.get(key)
         if found is None or found[0] != version:
             df = self.catalog.table(i.table)
-            made = text.index(df, i.fields[0], i.analyzer) if i.kind == "fulltext" else vector.index(df, i.fields[0], i.dimension)
-            found = self.catalog.built[key] = (version, written(made, "index"))
+            if i.kind == "fulltext":
+                made = text.postings(text.index(df, i.fields[0], i.analyzer))
+            else:
+                made = written(vector.index(df, i.fields[0], i.dimension), "index")
+            found = self.catalog.built[key] = (version, made)
         return found[1]
 
     def _resolved(self, hits: DataFrame, scores: Sequence[str], table: str, where: st.Where, order: Sequence, limit: int) -> DataFrame:

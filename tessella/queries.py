@@ -265,7 +265,29 @@ query("bm25_must", _bm25_sql(["licensed", "apache"], 15, "tf0 > 0 AND tf1 > 0")
 query("bm25_not", _bm25_sql(["licensed"], 15, "NOT list_contains(toks, 'apache')").replace("r AS (SELECT doc_id,", "r AS (SELECT doc_id, toks,") + " SELECT doc_id, round(score, 6) AS score FROM top")(
     lambda spark, sf_dir: _search(spark, sf_dir, "SEARCH documents text 'licensed -apache' LIMIT 15")
 )
-query("bm25_phrase")(lambda spark, sf_dir: _search(spark, sf_dir, "SEARCH documents text '\"apache license\"'"))
+
+
+def _bm25_tree_sql(terms: list[str], score: str, keep: str, limit: int) -> str:
+    """score may name s0, s1, ..., the terms' own scores, and keep tf0, tf1, ..."""
+    one = [f"ln(1 + (total - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s{i}" for i in range(len(terms))]
+    base = _bm25_sql(terms, limit)
+    return base[: base.index("top AS (")] + f"sc AS (SELECT *, {', '.join(one)} FROM r, c) SELECT doc_id, round({score}, 6) AS score FROM sc WHERE {keep} ORDER BY {score} DESC, doc_id::VARCHAR LIMIT {limit}"
+
+
+for _n, _q, _score, _keep in (
+    ("or_and", "licensed OR apache AND version", "s0 + CASE WHEN tf1 > 0 AND tf2 > 0 THEN s1 + s2 ELSE 0 END", "tf0 > 0 OR (tf1 > 0 AND tf2 > 0)"),
+    ("group", "(licensed OR apache) AND version", "s0 + s1 + s2", "(tf0 > 0 OR tf1 > 0) AND tf2 > 0"),
+    ("group_not", "licensed AND NOT (apache AND version)", "s0", "tf0 > 0 AND NOT (tf1 > 0 AND tf2 > 0)"),
+    ("boost", "licensed^2 apache (version license)^0.5", "2 * s0 + s1 + 0.5 * (s2 + s3)", "tf0 > 0 OR tf1 > 0 OR tf2 > 0 OR tf3 > 0"),
+):
+    query(f"bm25_{_n}", _bm25_tree_sql([*_TERMS, "license"][: 4 if _n == "boost" else 3], _score, _keep, 15))(lambda spark, sf_dir, q=_q: _search(spark, sf_dir, f"SEARCH documents text '{q}' LIMIT 15"))
+
+_PHRASE = ["apache", "license"]
+_PHRASE_SQL = (
+    _bm25_sql(_PHRASE, 10).replace("r AS (SELECT doc_id,", "r AS (SELECT doc_id, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'apache' AND toks[i + 1] = 'license'))::DOUBLE AS ph,").split("top AS (")[0]
+    + "sc AS (SELECT doc_id, (ln(1 + (total - df0 + 0.5) / (df0 + 0.5)) + ln(1 + (total - df1 + 0.5) / (df1 + 0.5))) * ph * 2.2 / (ph + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM r, c WHERE ph > 0) SELECT doc_id, round(s, 6) AS score FROM sc ORDER BY s DESC, doc_id::VARCHAR LIMIT 10"
+)
+query("bm25_phrase", _PHRASE_SQL)(lambda spark, sf_dir: _search(spark, sf_dir, "SEARCH documents text '\"apache license\"'"))
 query("bm25_english")(lambda spark, sf_dir: _search(spark, sf_dir, "SEARCH documents text 'licensing versions'", "english"))
 query("tokens_default", rf"SELECT doc_id, len({_TOKENS}) AS n, md5(array_to_string({_TOKENS}, ' ')) AS digest FROM documents")(
     lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("digest"))
