@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import codetokens, ingest, registry
+from tessella.errors import SchemaError
+from tessella.functions import clones, codetokens, ingest, metaast, registry
 from tessella.lang import statements as st
-from tessella.operators import communities, dml, graph, relational, text, vector
-from tessella.operators.fields import Typed
+from tessella.operators import ann, communities, dml, graph, relational, text, vector
+from tessella.operators.fields import Constant, Typed
 from tessella.operators.relational import keyed
 from tessella.plans.catalog import Catalog
 from tessella.plans.engine import Engine
+from tessella.plans.schema import FieldDef, Schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,8 +198,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).plan("GRAPH PAGERANK supplied_by DAMPING 0.85 MAX_ITER 10").select("id", F.round("score", 9).alias("score"))
 
 
-query("graph_communities_louvain")(lambda spark, sf_dir: engine(spark, sf_dir).plan("GRAPH COMMUNITIES in_nation ALGORITHM louvain"))
-query("graph_communities_lp")(lambda spark, sf_dir: engine(spark, sf_dir).plan("GRAPH COMMUNITIES in_region ALGORITHM lp"))
+# the edge tables are stars around a nation or region, which are their communities
+_STAR = "SELECT {hub} AS id, count(*) + 1 AS size, list_sort(list_append(list({leaf}), {hub})) AS members FROM {table} GROUP BY {key}"
+_NATIONS = _STAR.format(hub="'n' || c_nationkey", leaf="'c' || c_custkey", table="customer", key="c_nationkey")
+query("graph_communities_louvain", _NATIONS)(lambda spark, sf_dir: engine(spark, sf_dir).plan("GRAPH COMMUNITIES in_nation ALGORITHM louvain"))
+query("graph_communities_lp", _STAR.format(hub="'r' || n_regionkey", leaf="'n' || n_nationkey", table="nation", key="n_regionkey"))(lambda spark, sf_dir: engine(spark, sf_dir).plan("GRAPH COMMUNITIES in_region ALGORITHM lp"))
 query("graph_communities_distributed")(lambda spark, sf_dir: communities.synchronous(edges(spark, sf_dir, "in_nation")))
 
 # -- vectors
@@ -222,6 +229,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", (F.round(vector.distance(F.col("embedding").cast("array<double>"), q, "cosine"), 6) + 0.0).alias("distance"))
 
 
+_KNN = f"""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT y.vec_id AS query_id, x.vec_id, {{distance}} AS d FROM x, (SELECT vec_id, v AS q FROM x WHERE vec_id % 50 = 0) y),
+r AS (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id::VARCHAR) AS rank FROM p) SELECT query_id, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rank <= 10"""
+for _m, _e in _DISTANCE.items():
+
+    @query(f"vector_nearest_{_m}", _KNN.format(distance=_e))
+    def _(spark: SparkSession, sf_dir: str, m=_m) -> DataFrame:
+        """Every row whose id 50 divides, against all rows."""
+        idx = vector.index(keyed(read(spark, sf_dir, "embeddings"), "vec_id"), "embedding", 64)
+        hits = vector.nearest(idx, idx.where("cast(_id as long) % 50 = 0"), 10, m)
+        return hits.select(F.col("query").cast("long").alias("query_id"), F.col("_id").cast("long").alias("vec_id"), (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query("vector_approximate", "SELECT true AS recall_of_90_percent, count(*) AS queries FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the approximate index at 10 neighbours, over every row whose id 50 divides, against the exact search."""
+    idx = vector.index(keyed(read(spark, sf_dir, "embeddings"), "vec_id"), "embedding", 64)
+    asked = idx.where("cast(_id as long) % 50 = 0")
+    right = vector.nearest(idx, asked, 10).select("query", "_id")
+    found = ann.build(idx).nearest(asked, 10).select("query", "_id").withColumn("found", F.lit(1))
+    return right.join(found, ["query", "_id"], "left").agg((F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_of_90_percent"), F.countDistinct("query").alias("queries"))
+
+
 @query("vector_filtered", f"{_VEC}, top AS (SELECT vec_id, label, {_DISTANCE['euclidean']} AS d FROM x, q ORDER BY d, vec_id::VARCHAR LIMIT 50) SELECT vec_id, label, round(d, 6) + 0.0 AS distance FROM top WHERE label = 3 ORDER BY d LIMIT 5")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, q = _vectors(spark, sf_dir)
@@ -295,7 +324,10 @@ query("tokens_default", rf"SELECT doc_id, len({_TOKENS}) AS n, md5(array_to_stri
 query("tokens_simple", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS n FROM documents")(
     lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"), "simple")).cast("long").alias("n"))
 )
-query("tokens_code")(lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", codetokens.code_tokens(F.col("p_name")).alias("tokens")))
+query(
+    "tokens_code",
+    "SELECT p_partkey, list_concat(['get'], [x FOR x IN string_split(lower(p_name), ' ') IF len(x) > 1 AND x <> 'new'], ['http', 'id'], list_filter(string_split(lower(p_type), ' '), lambda x: len(x) > 1)) AS tokens FROM part",
+)(lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", codetokens.code_tokens(F.concat(F.lit("def get_"), F.translate("p_name", " ", "_"), F.lit("HTTPId "), F.lower("p_type"))).alias("tokens")))
 
 
 _HYBRID = (
@@ -359,6 +391,79 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.relate(df, df.where("src = 'p1'").withColumn("weight", F.lit(99.0)))
 
 
+@query("upsert_set", "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'ONE' ELSE r_name END AS r_name FROM region UNION ALL SELECT 77, 'NEW'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ON CONFLICT UPDATE SET: the SET alone for a record that exists, the fields for a new one."""
+    e = engine(spark, sf_dir)
+    for i in (1, 77):
+        e.execute(f"CREATE region:r{i} SET r_regionkey = 77, r_name = 'NEW' ON CONFLICT UPDATE SET r_name = 'ONE'")
+    return e.catalog.table("region").select("r_regionkey", "r_name")
+
+
+@query("upsert_set_table", "SELECT s_suppkey, CASE WHEN s_suppkey <= 5 THEN 0.25 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT -1, 9.0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "supplier")
+    new = df.where("s_suppkey <= 5").withColumn("s_acctbal", F.lit(7.0)).unionByName(dml.rows(df, [("s-1", {"s_suppkey": -1, "s_acctbal": 9.0})]))
+    return dml.upsert(df, new, (("s_acctbal", 0.25),)).select("s_suppkey", "s_acctbal")
+
+
+@query("update_record", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'HERE' ELSE n_name END AS n_name FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.execute("UPDATE nation:n3 SET n_name = 'HERE'")
+    e.execute("UPDATE nation:n4 SET n_name = 'NOWHERE' WHERE n_regionkey > 90")
+    return e.catalog.table("nation").select("n_nationkey", "n_name")
+
+
+@query("delete_record", "SELECT n_nationkey FROM nation WHERE n_nationkey <> 3")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    for i in (3, 3000):
+        e.execute(f"DELETE nation:n{i}")
+    return e.catalog.table("nation").select("n_nationkey")
+
+
+@query("replace_rows", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN NULL ELSE n_name END AS n_name FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in place of those with the same key, fields that they lack included."""
+    df = table(spark, sf_dir, "nation")
+    return dml.replace(df, df.where("n_nationkey < 5").withColumn("n_name", F.lit(None).cast("string"))).select("n_nationkey", "n_name")
+
+
+@query("edge_changes", f"SELECT src, dst, CASE WHEN src = 'n1' THEN 4.5 ELSE weight END AS weight FROM ({EDGES_SQL['in_region']}) WHERE src <> 'n2'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge read, deleted, and one's weight set."""
+    df = edges(spark, sf_dir, "in_region").withColumn("weight", F.lit(1.0))
+    ends = {r.src: r.dst for r in df.where("src in ('n1', 'n2')").collect()}
+    df = dml.unrelate(df, "n2", ends["n2"])
+    return dml.update_edge(df, "n1", ends["n1"], (("weight", 4.5),)).select("src", "dst", "weight")
+
+
+@query("indexes_and_unique_checks", "SELECT * FROM (VALUES (1, 'ok'), (2, 'error'), (3, 'error'), (4, 'ok'), (5, 'created')) t(step, status)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unique index, a value it refuses, one that the rows contradict, and what holds once it is removed."""
+    e = engine(spark, sf_dir)
+    steps = ["DEFINE INDEX u ON nation FIELDS n_name UNIQUE", "CREATE nation:n90 SET n_nationkey = 90, n_name = 'NATION_1'", "DEFINE INDEX w ON nation FIELDS n_regionkey UNIQUE", "REMOVE INDEX u ON nation", "CREATE nation:n90 SET n_nationkey = 90, n_name = 'NATION_1'"]
+    name = e.catalog.table("nation").where("n_nationkey = 1").first()["n_name"]
+    return spark.createDataFrame([(i, json.loads(e.run(q.replace("NATION_1", name)))["status"]) for i, q in enumerate(steps, 1)], "step int, status string")
+
+
+@query("schema_validation", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, true)) t(step, valid)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a closed schema: whole, without a required field, with an unknown one, of another type, of another dimension, with a null."""
+    s = Schema("u", (FieldDef("name", "string", True), FieldDef("age", "int"), FieldDef("v", "vector", dimension=3)))
+    docs = [{"name": "a", "age": 1, "v": [1.0, 2, 3]}, {"age": 1}, {"name": "a", "x": 1}, {"name": "a", "age": 1.5}, {"name": "a", "v": [1.0]}, {"name": "a", "age": None}]
+
+    def valid(d: dict) -> bool:
+        try:
+            s.validate(d)
+        except SchemaError:
+            return False
+        return True
+
+    return spark.createDataFrame([(i, valid(d)) for i, d in enumerate(docs, 1)], "step int, valid boolean")
+
+
 @query("unique_violations", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.unique_violations(table(spark, sf_dir, "nation"), ["n_regionkey"])
@@ -367,17 +472,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- syntax trees, made from parts
 
 
-def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A module for each part, with a function whose body depends on the part's size and brand."""
+def _trees(spark: SparkSession, sf_dir: str, other: Column | None = None) -> DataFrame:
+    """A module for each part, with a function whose body depends on the part's size; and one for another size."""
+    parts = read(spark, sf_dir, "part")
+    sizes = {"ast_serialized": F.col("p_size")} | ({} if other is None else {"other": other})
+    return parts.select("p_partkey", "p_size", *[_tree(size).alias(name) for name, size in sizes.items()])
+
+
+def _tree(size: Column) -> Column:
     leaf = lambda name: '{"node_type":"Variable","meta":[],"children":{"Value":{"String":"' + name + '"}}}'
     body = F.concat(
         F.lit('{"node_type":"BinaryOp","meta":[],"children":{"Nodes":[' + leaf("x") + "," + leaf("y") + "]}}"),
-        F.when(F.col("p_size") % 2 == 0, F.lit(',{"node_type":"Conditional","meta":[["line",{"Int":3}]],"children":{"Nodes":[' + leaf("x") + "]}}")).otherwise(F.lit("")),
-        F.when(F.col("p_size") % 3 == 0, F.lit(',{"node_type":"FunctionCall","meta":[["name",{"String":"helper"}]],"children":{"Nodes":[]}}')).otherwise(F.lit("")),
+        F.when(size % 2 == 0, F.lit(',{"node_type":"Conditional","meta":[["line",{"Int":3}]],"children":{"Nodes":[' + leaf("x") + "]}}")).otherwise(F.lit("")),
+        F.when(size % 3 == 0, F.lit(',{"node_type":"FunctionCall","meta":[["name",{"String":"helper"}]],"children":{"Nodes":[]}}')).otherwise(F.lit("")),
     )
     fn = F.concat(F.lit('{"node_type":"FunctionDef","meta":[["name",{"String":"f'), F.col("p_partkey").cast("string"), F.lit('"}],["arity",{"Int":2}],["line_start",{"Int":2}],["line_end",{"Int":9}]],"children":{"Nodes":['), body, F.lit("]}}"))
-    tree = F.concat(F.lit('{"node_type":"Container","meta":[["name",{"String":"M"}],["line",{"Int":1}]],"children":{"Nodes":['), fn, F.lit("]}}"))
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size", tree.alias("ast_serialized"))
+    return F.concat(F.lit('{"node_type":"Container","meta":[["name",{"String":"M"}],["line",{"Int":1}]],"children":{"Nodes":['), fn, F.lit("]}}"))
 
 
 def _call(name: str, *args) -> F.Column:
@@ -392,20 +502,100 @@ query("ast_hash_classes", "SELECT (p_size % 2 = 0) AS even, (p_size % 3 = 0) AS
 )
 
 
-@query("ast_scope_similarity")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessella.operators.fields import Constant
+_LEAF_SQL = """'{{"node_type":"Variable","meta":[],"children":{{"Value":{{"String":"{0}"}}}}}}'"""
+_X, _Y = _LEAF_SQL.format("x"), _LEAF_SQL.format("y")
+_COND_SQL = """'{"node_type":"Conditional","meta":[["line",{"Int":3}]],"children":{"Nodes":[' || """ + _X + """ || ']}}'"""
+
 
+def _fn_sql(size: str) -> str:
+    """The JSON of a part's function, whose body depends on size."""
+    call = """'{"node_type":"FunctionCall","meta":[["name",{"String":"helper"}]],"children":{"Nodes":[]}}'"""
+    head = """'{"node_type":"FunctionDef","meta":[["name",{"String":"f' || p_partkey || '"}],["arity",{"Int":2}],["line_start",{"Int":2}],["line_end",{"Int":9}]],"children":{"Nodes":['"""
+    body = """'{"node_type":"BinaryOp","meta":[],"children":{"Nodes":[' || """ + _X + " || ',' || " + _Y + " || ']}}'"
+    return f"{head} || {body} || CASE WHEN {size} % 2 = 0 THEN ',' || {_COND_SQL} ELSE '' END || CASE WHEN {size} % 3 = 0 THEN ',' || {call} ELSE '' END || ']}}}}'"
+
+
+@query("ast_scope_similarity", f"""SELECT p_partkey, '[' || {_fn_sql('p_size')} || CASE WHEN p_size % 2 = 0 THEN ',' || {_COND_SQL} ELSE '' END || ']' AS scope, 1.0::DOUBLE AS similarity, '{{"changes":[],"added":0,"removed":0,"modified":0,"renamed":0}}' AS diff FROM part""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trees(spark, sf_dir)
     return t.select("p_partkey", _call("ast::scope", "ast_serialized", Constant(3)).alias("scope"), _call("ast::similarity", "ast_serialized", "ast_serialized").alias("similarity"), _call("ast::diff", "ast_serialized", "ast_serialized").alias("diff"))
 
 
-@query("ast_clones")
+@query(
+    "ast_similarity_of_two",
+    """WITH x AS (SELECT p_partkey, 2.0 * (p_size % 2 = 0)::INT + (p_size % 3 = 0)::INT AS more FROM part), f AS (SELECT p_partkey, more, 2 / (8 + more) + (1 - 2 / (8 + more)) * 3 / (3 + more) AS fn FROM x)
+SELECT p_partkey, round(2 / (10 + more) + (1 - 2 / (10 + more)) * fn, 9) AS similarity FROM f""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessella.operators.fields import Constant
+    """Each tree against one whose function has neither condition nor call."""
+    t = _trees(spark, sf_dir, other=F.lit(1))
+    return t.select("p_partkey", F.round(_call("ast::similarity", "ast_serialized", "other"), 9).alias("similarity"))
+
 
-    grouped = _trees(spark, sf_dir).groupBy("p_size").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("ast_serialized")), ","), F.lit("]")).alias("trees"))
-    return grouped.select("p_size", _call("ast::clones", "trees", Constant(0.9)).alias("clones"))
+@query(
+    "ast_diff_of_two",
+    """WITH x AS (SELECT p_partkey, 'fn::f' || p_partkey || '/2' AS f, CASE WHEN p_size % 5 = 0 THEN 'removed' WHEN p_size % 2 = 0 THEN 'renamed' ELSE 'modified' END AS what FROM part)
+SELECT p_partkey, '{"changes":[{"kind":"' || CASE what WHEN 'removed' THEN 'Removed' WHEN 'renamed' THEN 'Renamed' ELSE 'Modified' END || '","node_type":"FunctionDef","name":"' || f || CASE WHEN what = 'renamed' THEN ' -> fn::g' || p_partkey || '/2' ELSE '' END || '","line":null}],"added":0,"removed":'
+|| (what = 'removed')::INT || ',"modified":' || (what = 'modified')::INT || ',"renamed":' || (what = 'renamed')::INT || '}' AS diff FROM x""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tree against one that lost its function, has it under another name or with another body."""
+    t = _trees(spark, sf_dir, other=F.col("p_size") + 1)
+    new = F.when(F.col("p_size") % 5 == 0, F.lit('{"node_type":"Container","meta":[],"children":{"Nodes":[]}}')).when(F.col("p_size") % 2 == 0, F.replace("ast_serialized", F.lit('"String":"f'), F.lit('"String":"g'))).otherwise(F.col("other"))
+    return t.withColumn("new", new).select("p_partkey", _call("ast::diff", "ast_serialized", "new").alias("diff"))
+
+
+@query(
+    "ast_clones",
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN '[{"index_a":0,"index_b":2,"similarity":1.0},{"index_a":0,"index_b":3,"similarity":1.0},{"index_a":2,"index_b":3,"similarity":1.0}]' ELSE '[{"index_a":0,"index_b":3,"similarity":1.0}]' END AS clones FROM part""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four trees for each part, of which some have the same shape."""
+    t = reduce(lambda a, k: a.join(_trees(spark, sf_dir, other=F.col("p_size") + k).select("p_partkey", F.col("other").alias(f"t{k}")), "p_partkey"), (1, 2, 6), _trees(spark, sf_dir))
+    trees = t.select("p_partkey", F.concat(F.lit("["), F.concat_ws(",", "ast_serialized", "t1", "t2", "t6"), F.lit("]")).alias("trees"))
+    return trees.select("p_partkey", _call("ast::clones", "trees", Constant(0.95)).alias("clones"))
+
+
+@query("ast_clone_classes", "SELECT p_partkey, min(p_partkey) OVER w AS class_id, count(*) OVER w - 1 AS links FROM part WINDOW w AS (PARTITION BY p_size % 2 = 0, p_size % 3 = 0)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trees of a table: equal shapes are a class."""
+    return clones.classes(_trees(spark, sf_dir).select(F.col("p_partkey").alias("id"), "ast_serialized")).select(F.col("id").alias("p_partkey"), "class_id", "links")
+
+
+query("ast_clone_links")(lambda spark, sf_dir: clones.links(_trees(spark, sf_dir).select(F.col("p_partkey").alias("id"), "ast_serialized"), 0.8))
+
+
+@query(
+    "ast_extracts",
+    """SELECT p_partkey, 5 + 2 * (p_size % 2 = 0)::BIGINT + (p_size % 3 = 0)::BIGINT AS nodes, 4::BIGINT AS depth, 'f' || p_partkey || '/2 public' AS functions, 'x,y' AS variables, CASE WHEN p_size % 3 = 0 THEN 'helper' ELSE '' END AS calls, 2 + (p_size % 2 = 0)::BIGINT AS found_variables,
+CASE WHEN p_size % 3 = 0 THEN 'Container,FunctionDef' ELSE '' END AS above_call, CASE WHEN p_size % 3 = 0 THEN 1 + (p_size % 2 = 0)::BIGINT ELSE 0 END AS beside_call FROM part""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the finding and extracting functions say of each tree."""
+    ddl = "p_partkey long, nodes long, depth long, functions string, variables string, calls string, found_variables long, above_call string, beside_call long"
+
+    def part(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for key, text_ in zip(pdf.p_partkey, pdf.ast_serialized):
+                n = metaast.read(text_)
+                call = next(iter(metaast.by_name(n, "helper")), None)
+                fn = ",".join(f"{f['name']}/{f['arity']} {f['visibility']}" for f in metaast.functions(n))
+                above = ",".join(x.type for x in metaast.ancestors(n, call)) if call else ""
+                out.append((key, metaast.node_count(n), metaast.depth(n), fn, ",".join(sorted(metaast.variables(n))), ",".join(metaast.calls(n)), len(metaast.by_type(n, "Variable")), above, len(metaast.siblings(n, call)) if call else 0))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
+
+    return _trees(spark, sf_dir).select("p_partkey", "ast_serialized").mapInPandas(part, ddl)
+
+
+@query("select_function", "SELECT p_partkey, 1 + (p_size % 2 = 0)::BIGINT AS \"ast::complexity(ast_serialized)\", 'trees:p' || p_partkey AS id FROM part WHERE p_size % 2 = 0 AND p_partkey <= 50")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function in the projection and in the filter of a statement."""
+    e = Engine(spark)
+    e.catalog.add_table("trees", keyed(_trees(spark, sf_dir), "p_partkey", "p"))
+    return e.plan("SELECT p_partkey, ast::complexity(ast_serialized) FROM trees WHERE ast::complexity(ast_serialized) > 1 AND p_partkey <= 50")
 
 
 @query("ast_ingest_edges", "SELECT 'f' || p_partkey || '::container::M' AS src, 'contains' AS edge_type, 'f' || p_partkey || '::f' || p_partkey || '/2' AS dst FROM part UNION ALL SELECT 'f' || p_partkey || '::f' || p_partkey || '/2', 'calls', 'call_target::helper' FROM part WHERE p_size % 3 = 0")
@@ -414,4 +604,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(files)[1]
 
 
-query("json_rows")(lambda spark, sf_dir: spark.createDataFrame([(engine(spark, sf_dir).run("SELECT r_name FROM region OUTCOME JSON"),)], "result string"))
+# -- results as text
+
+
+def _rendered(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    return spark.createDataFrame([(engine(spark, sf_dir).run(f"SELECT r_regionkey, r_name FROM region OUTCOME {form}"),)], "result string")
+
+
+_ROWS = "(SELECT 'region:r' || r_regionkey AS id, r_name, r_regionkey FROM region)"
+query("json_rows", f"""SELECT '{{"status":"rows","count":' || count(*) || ',"data":[' || string_agg('{{"id":{{"String":"' || id || '"}},"r_name":{{"String":"' || r_name || '"}},"r_regionkey":{{"Int":' || r_regionkey || '}}}}', ',' ORDER BY id) || ']}}' AS result FROM {_ROWS}""")(lambda spark, sf_dir: _rendered(spark, sf_dir, "JSON"))
+query("toon_rows", f"""SELECT 'status = "rows"' || chr(10) || 'count = ' || count(*) || chr(10) || chr(10) || string_agg('[[data]]' || chr(10) || 'id = "' || id || '"' || chr(10) || 'r_name = "' || r_name || '"' || chr(10) || 'r_regionkey = ' || r_regionkey, chr(10) || chr(10) ORDER BY id) AS result FROM {_ROWS}""")(
+    lambda spark, sf_dir: _rendered(spark, sf_dir, "TOON")
+)
+query("csv_rows", f"""SELECT 'id,r_name,r_regionkey' || chr(10) || string_agg(id || ',' || r_name || ',' || r_regionkey, chr(10) ORDER BY id) AS result FROM {_ROWS}""")(lambda spark, sf_dir: _rendered(spark, sf_dir, "CSV"))
+query("outcome_of_errors", """SELECT 'status,message' || chr(10) || 'error,record exists: region:r0' AS result""")(lambda spark, sf_dir: spark.createDataFrame([(engine(spark, sf_dir).run("CREATE region:r0 SET r_name = 'X' OUTCOME CSV"),)], "result string"))
