@@ -4,9 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of documents.
 
 Defined results: documents with a null or empty text are rejected by the first stage; a copy that loses all its lines to an
-earlier document goes with the second; of each group of near duplicates the least doc_id stays; rows that repeat a
-doc_id pass or go together in the third stage; columns beside doc_id, text and lang pass through untouched, but that
-n_chars follows the text. The last stage has doc_id, ids and n_tokens.
+earlier document goes with the second (so that the third sees fewer of the near copies: what they share with an earlier
+document is gone from them by then); of each group of near duplicates the least doc_id stays; rows that repeat a
+doc_id pass or go together in the third stage; a null doc_id passes the second and third; a very long text is treated whole
+in every stage; columns beside doc_id, text and lang, of whatever name, pass through untouched, but that
+n_chars follows the text; an empty table gives an empty table. The last stage has doc_id, ids and n_tokens.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ STAGES = [
     ("bpe", bpe.stage),
 ]
 
-ORACLE_SQL = None  # no stage can be written in SQL; tests/llm/test_pipeline.py has brute-force versions
+ORACLE_SQL = None  # SQL can't express language ID, patience diff or BPE; tests/llm/test_pipeline.py has brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ All new pretokens of a chunk go through this side by side; results are kept by 6
 Every chunk is decoded and compared with its bytes, so that a hash collision can't pass: such a chunk is encoded afresh.
 
 Defined results: a null text has null ids and 0 tokens, an empty one has no ids; strings that look like special tokens
-are ordinary text; rows are encoded one by one, so repeats, nulls in other columns and extra columns change nothing.
+are ordinary text; rows are encoded one by one, so repeats, nulls in other columns and extra columns of whatever name change
+nothing; a very long text, or a single word as long, has the ids of the whole (words beyond LONG bytes only take another loop);
+there are no ties: every prefix has one last token; an empty table gives an empty table.
 """
 
 from __future__ import annotations

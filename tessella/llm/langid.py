@@ -11,7 +11,9 @@ rows of each language (those with the smallest hash of doc_id), and the distance
 if no language has two rows.
 
 Defined results: a null or empty text, or one without letters, is rejected; null labels don't train; with no labelled
-row every document is rejected; repeated rows are judged one by one; extra columns pass through unchanged.
+row every document is rejected; repeated rows are judged one by one; a very long text counts whole; of languages whose
+centroids are equally near, the first by name is taken, and a distance equal to its bound is accepted; extra columns, of whatever
+name, pass through stage() unchanged and are ignored by identify(); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -125,12 +127,12 @@ def _sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray,
         for batch in batches:
             for piece in tv.pieces(batch, "text", max_rows=_ROWS):
                 tf, letters = counts(piece.column(1))
-                yield tv.batch_of(schema, piece.column(0).cast(pa.string()), letters, [x.tobytes() for x in np.minimum(tf, 65535).astype(np.uint16)], [cuts(x) for x in piece.column(1).to_pylist()])
+                yield tv.batch_of(schema, piece.column(0).cast(pa.string()), letters, [x.tobytes() for x in tf.astype(np.uint32)], [cuts(x) for x in piece.column(1).to_pylist()])
 
     chosen = docs.where("lang is not null and text is not null").where(key < rate[F.col("lang")]).select("lang", "text")
     rows = chosen.mapInArrow(part, "lang string, letters long, tf binary, cuts array<string>").collect()
     rows.sort(key=lambda r: (r.lang, blake2b(r.tf, digest_size=8).digest()))  # the same order however tasks end
-    return np.array([r.lang for r in rows], object), np.array([r.letters for r in rows]), np.array([np.frombuffer(bytes(r.tf), np.uint16) for r in rows], np.float32).reshape(len(rows), DIM), [r.cuts for r in rows]
+    return np.array([r.lang for r in rows], object), np.array([r.letters for r in rows]), np.array([np.frombuffer(bytes(r.tf), np.uint32) for r in rows], np.float32).reshape(len(rows), DIM), [r.cuts for r in rows]
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:

@@ -6,12 +6,14 @@ The trees, grown on histograms with logistic loss, are flattened into node array
 
 The trees learn from labels: a row is good if its quality is 1 and it isn't toxic. They are fitted on at most
 ``most`` labelled rows (those with the smallest hash of doc_id; one in four is held out). From the fitted rows
-also comes the lexicon of toxic words: those seen in at least LEXICON_DOCS toxic documents and in toxic ones mostly.
+also comes the lexicon of toxic words: all those seen in at least LEXICON_DOCS toxic documents and in toxic ones mostly (so it has
+a bound, too: the words of the fitted rows).
 The threshold separates the held-out rows best among those that keep KEEP of the good ones.
 
 Defined results: a null or empty text is dropped; null labels don't train, of a doc_id labelled twice the least label
 counts; without labels of both kinds every non-empty document stays with score 0; repeated documents are judged one by
-one; a null doc_id is kept if its text is good; extra columns are ignored.
+one; a very long text is measured whole; a score that ties with the threshold stays; a null doc_id is kept if its text is good;
+extra columns, of whatever name, are ignored; empty documents give an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ TREES, DEPTH, RATE, BINS, LEAST = 80, 4, 0.15, 64, 20
 L2 = 1.0
 KEEP = 0.99
 LEXICON_DOCS = 5
-LEXICON_MOST = 5000
 STATISTICS = ("words", "word_length", "letters", "digits", "symbols", "space", "capitals", "lines", "closed_lines", "distinct_words", "top_word", "repeated_word", "repeated_lines", "toxic_share", "toxic_words")
 SIGNS = {"symbols": -1, "top_word": -1, "repeated_word": -1, "repeated_lines": -1, "toxic_share": -1, "toxic_words": -1}
 _SIGN = np.array([SIGNS.get(s, 0) for s in STATISTICS])
@@ -193,8 +194,8 @@ def lexicon(rows: DataFrame) -> np.ndarray:
                 yield tv.batch_of(schema, u.view(np.int64), np.bincount(inv, bad[row[o]], minlength=len(u)).astype(np.int64), np.bincount(inv, minlength=len(u)))
 
     words = rows.select("text", "toxic").mapInArrow(part, "word long, toxic long, docs long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    top = words.where((F.col("toxic") >= LEXICON_DOCS) & (2 * F.col("toxic") > F.col("docs"))).orderBy(F.desc("toxic"), "word").limit(LEXICON_MOST)
-    return np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
+    toxic = words.where((F.col("toxic") >= LEXICON_DOCS) & (2 * F.col("toxic") > F.col("docs"))).select("word").toArrow()
+    return np.sort(toxic["word"].to_numpy().view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> dict:

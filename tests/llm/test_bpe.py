@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
-from helpers import awkward, frame
+from helpers import awkward, frame, rows
 
 from tessella.llm import bpe, textvec
 
@@ -82,10 +82,16 @@ def test_collision_is_noticed():
 def test_round_trip_and_awkward_rows(spark):
     docs = frame(spark, awkward())
     out = bpe.encode(docs)
-    rows = out.collect()
-    assert len(rows) == docs.count()
-    assert all((r.ids is None) == (r.n_tokens == 0 and r.ids is None) for r in rows)
-    assert [r for r in rows if r.ids is None] and [r for r in rows if r.ids == []]
+    got = out.collect()
+    assert len(got) == docs.count()
+    assert all((r.ids is None) == (r.n_tokens == 0 and r.ids is None) for r in got)
+    assert [r for r in got if r.ids is None] and [r for r in got if r.ids == []]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted([tuple(r) for r in bpe.decode(out).collect()], key=key) == sorted([(r.doc_id, r.text) for r in docs.collect()], key=key)
     assert bpe.stage(spark, frame(spark, []), "").count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    docs = frame(spark, rows(["one two", None])).withColumnRenamed("lang", "ids").withColumnRenamed("source", "n_tokens")
+    got = {r.doc_id: r for r in bpe.encode(docs).collect()}
+    assert got[0].n_tokens == len(got[0].ids) > 1 and got[1].ids is None

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -41,6 +42,59 @@ def test_counts_match_brute_force():
     assert tf[1].sum() == tf[2].sum() == 0
 
 
+def plain(text: str) -> dict[int, int]:
+    """Term counts of a text by bucket, byte by byte."""
+    low, x = text.lower().encode(), []
+    is_letter = lambda c: 97 <= c <= 122 or c >= 128
+    for i, c in enumerate(low):
+        if is_letter(c):
+            x.append(c)
+        elif i and is_letter(low[i - 1]):
+            x.append(32)
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(x) - n + 1):
+            code = int.from_bytes(bytes(x[i : i + n]), "big") + (n << 24)
+            b = (code * 2654435761 % 2**32) >> 20
+            out[b] = out.get(b, 0) + 1
+    return out
+
+
+def test_prediction_against_brute_force(spark, corpus):
+    texts, langs = corpus
+    model = langid.fit(frame(spark, rows(texts[:240], langs[:240])), per_language=60)
+    own = [*texts[240:280], "abc", "xyzzy hjkl", "é", "abc nop " * 30]
+    got = langid.predict(model, pa.array(own))
+    df = {}
+    for t in texts[:240]:
+        for b in plain(t):
+            df[b] = df.get(b, 0) + 1
+    for text, name, cos, ok in zip(own, *got):
+        v = {b: math.log1p(n) * (math.log(241 / (1 + df.get(b, 0))) + 1) for b, n in plain(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        best = max(sum(x * float(c[b]) for b, x in v.items()) / norm for c in model["centroids"])
+        assert abs(best - cos) < 1e-4
+        letters = sum(97 <= c <= 122 or c >= 128 for c in text.lower().encode())
+        bound = model["bound"][min(int(math.log2(letters)), 20)]
+        assert ok == (1 - best <= bound) or abs(1 - best - bound) < 1e-4
+        near = [k for k, c in zip(model["names"], model["centroids"]) if sum(x * float(c[b]) for b, x in v.items()) / norm > best - 1e-5]
+        assert name in near
+
+
+def test_the_first_language_by_name_wins_a_tie(corpus):
+    text = corpus[0][0]
+    tf, _ = langid.counts(pa.array([text]))
+    v = langid.vectors(tf, np.ones(langid.DIM, np.float32))
+    model = {"idf": np.ones(langid.DIM, np.float32), "centroids": np.concatenate([v, v]), "names": ["aa", "bb"], "bound": np.zeros(21) + 1e-6}
+    assert langid.predict(model, pa.array([text]))[0].tolist() == ["aa"] and langid.predict(model, pa.array([text]))[2].all()
+
+
+def test_counts_beyond_16_bits_train_unclipped(spark):
+    docs = frame(spark, rows(["ab " * 70_000, "xyz " * 10], ["aa", "bb"]))
+    _, _, tf, _ = langid._sample(docs, 5)
+    assert tf.max() > 65_535
+
+
 def test_document_frequencies_cover_all_documents(spark, corpus):
     texts, langs = corpus
     df, n = langid._frequencies(frame(spark, rows(texts, langs)))
