@@ -11,6 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from tessella.errors import TessellaError
 from tessella.plans.catalog import Catalog
 from tessella.plans.engine import Engine
 
@@ -43,7 +44,12 @@ def main(args: list[str] | None = None) -> None:
                 print("\n".join(engine.run_lines(batch)), flush=True)
                 batch = None
         elif s:
-            print(engine.run(s), flush=True)
+            try:
+                for piece in engine.pieces(s):
+                    print(piece, end="")
+                print(flush=True)
+            except TessellaError:
+                print(engine.run(s), flush=True)  # as an error of the form that the statement asks for
     if given.catalog:
         catalog.save(given.catalog)
 

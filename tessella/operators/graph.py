@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.lang import statements as st
@@ -109,28 +109,34 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, limit
     """(id, score): weighted power iteration; weights of 0 or less carry nothing, dangling rank spreads evenly.
 
     Edges are shuffled by src once and kept that way, so a round moves ranks alone: one join on src and one aggregation
-    on dst. The rounds' ranks are written, since the test for convergence and the next round both read them.
+    on dst. Sources of more edges than a partition should hold, of which there can't be more than partitions, are salted: their
+    edges are dealt out by dst and their rank goes to each share. A round is one job: it writes the ranks, and what
+    convergence needs is observed meanwhile.
     """
     w = weighted(edges).withColumn("weight", F.greatest("weight", F.lit(0.0)))
-    ids = written(w.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "vertices")
-    n = ids.count()
-    if n == 0:
-        return ids.select("id", F.lit(0.0).alias("score"))
-    share = Window.partitionBy("src")
-    flow = written(w.where("weight > 0").withColumn("part", F.col("weight") / F.sum("weight").over(share)).select("src", "dst", "part"), "flow")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flow = flow.repartition(parts, "src").persist()  # what an executor loses is read from the written table again
-    dangling = ids.join(flow.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("dangling", F.lit(True))
-    base = written(ids.join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling")), "vertices")
-    rank = base.select("id", "dangling", F.lit(1.0 / n).alias("score"))
-    lost = base.where("dangling").count() / n
+    positive = w.where("weight > 0")
+    out = written(positive.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("edges")), "sources")
+    every = out.agg(F.sum("edges")).first()[0] or 0
+    salts = F.when(F.col("edges") * parts > every, F.least(F.lit(parts), F.ceil(F.col("edges") * parts / F.lit(max(every, 1))))).otherwise(F.lit(1)).cast("int")
+    ids = w.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    base = written(ids.join(out.select("id", salts.alias("salts")), "id", "left").select("id", F.coalesce("salts", F.lit(0)).alias("salts")), "vertices")
+    n, lost = base.agg(F.count(F.lit(1)), F.coalesce(F.count_if(F.col("salts") == 0), F.lit(0))).first()
+    if n == 0:
+        return base.select("id", F.lit(0.0).alias("score"))
+    share = positive.join(out.select(F.col("id").alias("src"), "total", salts.alias("salts")), "src")
+    flow = share.select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst", (F.col("weight") / F.col("total")).alias("part"))
+    flow = written(flow, "flow").repartition(parts, "src", "salt").persist()  # what an executor loses is read from the written table again
+    rank, lost = base.select("id", "salts", F.lit(1.0 / n).alias("score")), lost / n
     for _ in range(max_iter):
-        got = flow.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
-        new = rank.withColumnRenamed("score", "old").join(got, "id", "left").select("id", "dangling", "old", ((1 - damping) / n + damping * lost / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        new = written(new, "rank")
-        rank = new.select("id", "dangling", "score")
-        change, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
-        if change < tolerance:
+        sent = rank.where("salts > 0").select(F.col("id").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        got = flow.join(sent, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
+        new = rank.withColumnRenamed("score", "old").join(got, "id", "left").select("id", "salts", "old", ((1 - damping) / n + damping * lost / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        seen = Observation()
+        change, dangling = F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("salts") == 0, F.col("score")))
+        rank = written(new.observe(seen, change.alias("change"), F.coalesce(dangling, F.lit(0.0)).alias("lost")).select("id", "salts", "score"), "rank")
+        lost = seen.get["lost"]
+        if seen.get["change"] < tolerance:
             break
     flow.unpersist()
     ranked = rank.select("id", "score").orderBy(F.col("score").desc(), "id")
@@ -142,11 +148,12 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("src", "dst"), "edges")
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     e = edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    state, w = None, Window.partitionBy("u")
+    state = None
     while True:
         both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
-        large = both.select("u", "v", F.least("u", F.min("v").over(w)).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.select("u", "v", F.min("v").over(w).alias("m"))
+        # a vertex that very many lead to is aggregated before it is shuffled, and joined as AQE splits it
+        large = both.where("v > u").join(both.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
         small = low.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
         e = written(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

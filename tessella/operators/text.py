@@ -1,7 +1,7 @@
 """Ranked full-text search (BM25) over an inverted index.
 
 The index has a row for each occurrence of a term: (term, _id, dl, pos), sorted by term in every file, so that a search reads the
-row groups of its own terms alone; the number of documents and words is observed while it is written. It takes one shuffle,
+row groups of its own terms alone. It takes one shuffle,
 by term and a salt, so a frequent term is spread over tasks. A search gathers its terms' rows by document and keeps the top rows.
 
 Query strings hold terms (any of them matches), ``+must`` and ``-mustn't`` terms, "phrases", (groups), and ``AND``, ``OR``, ``NOT``
@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import QueryError
@@ -169,12 +169,10 @@ class Postings:
 
 def postings(idx: DataFrame) -> Postings:
     """The inverted index of (_id, tokens), written."""
-    seen = Observation()
-    rows = idx.select("_id", "tokens", F.size("tokens").alias("dl")).observe(seen, F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("words"))
-    each = rows.select("_id", "dl", F.posexplode("tokens").alias("pos", "term")).select("term", "_id", "dl", "pos")
+    each = idx.select("_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term")).select("term", "_id", "dl", "pos")
     parts = int(idx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = written(each.repartition(parts, "term", F.pmod(F.xxhash64("_id"), F.lit(SALT))).sortWithinPartitions("term", "_id"), "postings")
-    return Postings(table, seen.get["documents"], seen.get["words"])
+    return Postings(table, idx.select("_id").count(), table.count())
 
 
 def search(idx: DataFrame | Postings, query: str, limit: int, name: str = "default") -> DataFrame:

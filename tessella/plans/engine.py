@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ from tessella.operators import communities, dml, graph, hybrid, relational, text
 from tessella.operators.fields import is_dynamic, kind_of, value_of
 from tessella.plans.cache import ResultCache
 from tessella.plans.catalog import Catalog, Index
-from tessella.sources.render import Result, error, render
+from tessella.sources.render import Result, error, json_row, json_rows, render
 from tessella.sources.snapshots import written
 
 DEFAULT_LIMIT = 10
@@ -48,6 +48,20 @@ class Engine:
         except TessellaError as e:
             return error(str(e), q.outcome)
 
+    def pieces(self, query: str) -> Iterator[str]:
+        """run()'s JSON in pieces, a row at a time, so that a large result is never whole on the driver."""
+        q = parse(query)
+        s = q.statement
+        if q.outcome != "JSON" or not isinstance(s, st.Select | st.GraphEdges | st.Search | st.VectorSearch | st.HybridSearch):
+            yield self.run(query)
+            return
+        df = self._ordered(s)
+        head = json_rows([])[: -len("]}")]
+        yield head.replace('"count":0', f'"count":{df.count()}')
+        for i, r in enumerate(df.toLocalIterator(prefetchPartitions=True)):
+            yield ("," if i else "") + json_row(self._row(r))
+        yield "]}"
+
     def run_lines(self, lines: Sequence[str]) -> list[str]:
         """The line protocol: a statement a line; between BEGIN BATCH and END BATCH they form one change."""
         out, batch = [], None
@@ -174,10 +188,14 @@ class Engine:
             return found
         return getattr(self, "_do_" + name)(s) if hasattr(self, "_do_" + name) else self._read(s)
 
-    def _read(self, s: Any) -> Result:
+    def _ordered(self, s: Any) -> DataFrame:
         df = self.plan(s)
         if isinstance(s, st.Select) and s.limit is None and not s.order and not isinstance(s.items, st.Chain):
             df = df.orderBy("id")
+        return df
+
+    def _read(self, s: Any) -> Result:
+        df = self._ordered(s)
         rows = [self._row(r) for r in df.collect()]
         if isinstance(s, st.Count) and not s.group:
             return Result("count", count=rows[0]["count"])

@@ -51,6 +51,15 @@ def _dumps(x: Any) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
+def json_row(row: dict[str, Any]) -> str:
+    """A row as JSON results have it."""
+    return _dumps({k: _tagged(v) for k, v in sorted(row.items())})
+
+
+def json_rows(rows: list[dict[str, Any]]) -> str:
+    return _json(Result("rows", rows))
+
+
 def _json(r: Result) -> str:
     out: dict[str, Any] = {"status": r.status, **r.scalars}
     if r.rows is not None:

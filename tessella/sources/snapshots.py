@@ -6,13 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.errors import QueryError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (as in tests) one of our own is set."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a session within one machine (as in tests) gets
+    one of its own; a cluster has no folder that all executors see, which is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise QueryError("set spark.checkpoint.dir to a folder that all executors share")
+
         where = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

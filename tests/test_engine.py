@@ -229,3 +229,11 @@ def test_prompt(spark, monkeypatch, capsys):
     main(["--table", "region=/root/testdata/sf0.001/region.parquet:r_regionkey"])
     out = capsys.readouterr().out.splitlines()
     assert json.loads(out[0])["id"] == "u:a" and json.loads(out[1])["created"] == 1 and out[2:] == ["status,count", "count,2"]
+
+
+def test_pieces_are_the_result(engine):
+    fill(engine, "CREATE p:a SET v = 1", "CREATE p:b SET v = 'x, y'", "CREATE p:c SET w = [1]")
+    for q in ("SELECT * FROM p", "SELECT v FROM p ORDER BY v DESC LIMIT 2", "SELECT v FROM nobody", "COUNT p", "SELECT v FROM p OUTCOME CSV"):
+        got = list(engine.pieces(q))
+        assert "".join(got) == engine.run(q)
+    assert len(list(engine.pieces("SELECT * FROM p"))) == 5

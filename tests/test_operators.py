@@ -179,3 +179,22 @@ def test_json_tables(spark):
     assert {k: v["t"] for k, v in f["a"].items()} == {"n": "int", "f": "float", "s": "string", "b": "bool", "z": "none", "v": "array", "o": "object"}
     assert f["a"]["v"]["v"] == [1.0, 2.5] and f["b"] == {}
     assert json.loads(to_json_lines(spark.createDataFrame([(1, None)], "a int, b string")).first().value) == {"a": 1}
+
+
+def test_pagerank_of_a_hub(spark):
+    """A source of most edges, which is salted, against plain power iteration."""
+    e = [("h", f"v{i}", 1.0 + i % 3) for i in range(60)] + [(f"v{i}", f"v{(i * 7) % 60}", 2.0) for i in range(0, 60, 2)] + [("v1", "h", 1.0)]
+    ids = sorted({x for a, b, _ in e for x in (a, b)})
+    total = {a: sum(w for x, _, w in e if x == a) for a, _, _ in e}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(15):
+        lost = sum(rank[v] for v in ids if v not in total)
+        rank = {v: 0.15 / len(ids) + 0.85 * lost / len(ids) + 0.85 * sum(rank[a] * w / total[a] for a, b, w in e if b == v) for v in ids}
+    got = {r.id: r.score for r in graph.pagerank(spark.createDataFrame(e, "src string, dst string, weight double"), max_iter=15, tolerance=0.0).collect()}
+    assert set(got) == set(ids) and all(abs(got[v] - rank[v]) < 1e-12 for v in ids)
+
+
+def test_components_of_stars_and_chains(spark):
+    e = [("a", f"x{i}") for i in range(200)] + [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("z", "z")]
+    got = {r.id: r.component for r in graph.connected(spark.createDataFrame(e, "src string, dst string")).collect()}
+    assert all(got[f"x{i}"] == "a" for i in range(200)) and {got[f"c{i}"] for i in range(41)} == {"c0"} and got["z"] == "z"
