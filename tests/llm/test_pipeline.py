@@ -5,12 +5,14 @@ import random
 import numpy as np
 import pytest
 from helpers import frame, rows, sentence, vocabulary
+from pyspark.sql import functions as F
 from test_decontam import brute as leaked
 from test_jaccard import brute as near
 from test_linedup import brute as deduped
 
 import corpus_pipeline
 from tessella.llm import bpe
+from tessella.llm import textvec as tv
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +59,25 @@ def test_stages_keep_the_columns(spark, corpus):
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
 
 
+def test_repeated_rows_long_texts_and_clashing_names(spark, corpus, tmp_path):
+    folder, texts, _ = corpus
+    long = "\n".join(f"{t} {i}" for i in range(60) for t in texts[20:40])  # no line of it occurs elsewhere
+    extra = [*rows(texts[:60]), *rows(texts[1:3], first=1), *rows([long, "short\nverse\nlines\nhere", None, texts[2]], first=100), (None, texts[30] + " of no number", "en", "s", 3)]
+    docs = frame(spark, extra).withColumnRenamed("source", "_gone").withColumn("ids", F.lit(1)).withColumn("tile", F.lit("x"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = tv.written(stage(spark, left, folder), name)
+        assert left.columns == docs.columns and [t for _, t in left.dtypes] == [t for _, t in docs.dtypes]
+    got = left.collect()
+    per = [r.doc_id for r in got]
+    assert per.count(1) == per.count(2) == 2 and per.count(100) == per.count(None) == 1 and 103 not in per and 102 not in per
+    assert next(r.text for r in got if r.doc_id == 100) == long
+    ids = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert bpe.load(bpe.VOCABULARY).decode(np.array(ids[100], int)).tobytes().decode() == long
+
+
 def test_empty_documents(spark, corpus, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
