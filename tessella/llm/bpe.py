@@ -32,6 +32,7 @@ from tessella.llm import textvec as tv
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE = 1_000_000  # pretokens kept by a worker; beyond that it begins anew
+MEMO = 20  # bits of the number of pairs whose compatibility is remembered
 LONG = 256  # longer pretokens are encoded one by one
 _SPACE, _LETTER, _NUMBER, _OTHER = 1, 2, 3, 0
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -89,6 +90,7 @@ class Vocabulary:
                 self.left[i], self.right[i] = parts
         split = np.flatnonzero(usable & (self.left != np.arange(size)))
         self.pairs = Table(self.left[split].astype(np.int64) * size + self.right[split], split.astype(np.int32))
+        self.memo = np.full(1 << MEMO, -2, np.int64)  # a pair of tokens, and whether they are compatible in the last bit
         self.length = np.array([len(t) for t in tokens], np.int32)
         self.start = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -155,7 +157,17 @@ class Vocabulary:
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging the bytes of token a followed by those of b leaves just these two."""
+        """Whether merging the bytes of token a followed by those of b leaves just these two; pairs asked for lately are remembered."""
+        pair = a.astype(np.int64) * self.size + b
+        at = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO)).astype(np.int64)
+        held = self.memo[at]
+        new = np.flatnonzero(held >> 1 != pair)
+        if len(new):
+            held[new] = pair[new] << 1 | self._undone(a[new], b[new])
+            self.memo[at[new]] = held[new]
+        return (held & 1).astype(bool)
+
+    def _undone(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
         at, a, b = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
         limit = np.full(len(a), 1 << 40)
@@ -347,7 +359,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        none = np.zeros(0, np.int64)
+        self.levels = [(none.astype(np.uint64), none, none)] * 2  # hash, place and number of ids: most of them, and the latest
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and their number in each row; checked by decoding."""
@@ -374,27 +388,39 @@ class Encoder:
     def _cached(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = tv.hashes(data, starts, ends)
         u, one, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, u)
-        has = np.zeros(len(u), bool)
-        inside = at < len(self.known)
-        has[inside] = self.known[at[inside]] == u[inside]
+        has, at, n = np.zeros(len(u), bool), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        for known, place, number in self.levels:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                hit = np.flatnonzero(known[i] == u)
+                has[hit], at[hit], n[hit] = True, place[i[hit]], number[i[hit]]
         new = np.flatnonzero(~has)
         if len(new):
-            if len(self.known) + len(new) > self.most and len(self.known):
+            held = sum(len(x[0]) for x in self.levels)
+            if held and held + len(new) > self.most:
                 self.forget()
                 return self._cached(data, starts, ends)
-            ids, n = self._fresh(data, starts[one[new]], ends[one[new]])
-            merged = np.concatenate([self.known, u[new]])
-            o = np.argsort(merged, kind="stable")
-            self.known = merged[o]
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])[o]
-            self.n = np.concatenate([self.n, n])[o]
-            self.ids = np.concatenate([self.ids, ids])
-            at = np.searchsorted(self.known, u)
-        k = at[back]
-        n = self.n[k]
+            ids, n[new] = self._fresh(data, starts[one[new]], ends[one[new]])
+            at[new] = self.used + np.cumsum(n[new]) - n[new]
+            self._keep(ids, (u[new], at[new], n[new]))
+        at, n = at[back], n[back]
         first = np.cumsum(n) - n
-        return self.ids[np.repeat(self.at[k] - first, n) + np.arange(int(n.sum()))], n
+        return self.ids[np.repeat(at - first, n) + np.arange(int(n.sum()))], n
+
+    def _keep(self, ids: np.ndarray, new: tuple[np.ndarray, ...]) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + len(ids), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        most, late = self.levels
+        late = self._merged(late, new)
+        # what is large is merged rarely
+        self.levels = [self._merged(most, late), tuple(x[:0] for x in late)] if 4 * len(late[0]) > len(most[0]) else [most, late]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        o = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[o] for x, y in zip(a, b))
 
 
 @lru_cache(maxsize=2)
