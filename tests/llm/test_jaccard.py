@@ -61,13 +61,50 @@ def found(docs) -> set[frozenset]:
     return {frozenset(r[1]) for r in got}
 
 
-@pytest.mark.parametrize("hot, block", [(0.25, 4096), (0.25, 5), (0.0, 5)])
-def test_groups_match_brute_force(spark, monkeypatch, hot, block):
-    """With hot tiles, of which some or all sets stay in them, too."""
-    monkeypatch.setattr(jc, "HOT", hot)
+def partners(docs: dict[int, str]) -> dict[int, int]:
+    s = {i: grams(t) for i, t in docs.items()}
+    n = {i: sum(j != i and bool(s[j]) and len(s[i] & s[j]) >= jc.THRESHOLD * len(s[i] | s[j]) for j in docs) for i in docs if s[i]}
+    return {i: k for i, k in n.items() if k}
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_groups_and_links_match_brute_force(spark, monkeypatch, block):
+    """With hot tiles, and groups of several blocks, too."""
     monkeypatch.setattr(jc, "BLOCK", block)
     docs = corpus(5 + block)
-    assert found(frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])) == brute(docs)
+    df = frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])
+    assert found(df) == brute(docs)
+    got = {r.doc_id: r.links for r in jc.links(df).collect()}
+    assert got == partners(docs)
+    group = {i: len(g) - 1 for g in brute(docs) for i in g}
+    assert any(got[i] < group[i] for i in got)  # not all of a group are partners
+
+
+def test_pairs_that_share_nothing_but_a_hot_passage(spark, monkeypatch):
+    """A passage that many texts hold, alone and in texts of twice its length: pairs at the threshold whose 40 least hashes tell nothing."""
+    rng = random.Random(4)
+    voc = vocabulary(rng, "abcdefghij", 900)
+    make = lambda n: [rng.choice(voc) for _ in range(n)]
+    passage = make(102)
+    docs = {i: " ".join(passage + make(100)) for i in range(400)}
+    docs[1000] = " ".join(passage)
+    monkeypatch.setattr(jc, "BLOCK", 64)
+    got = {r.doc_id: r.links for r in jc.links(frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])).collect()}
+    assert got == partners(docs) and got[1000] == 400
+
+
+def test_keys_of_any_two_sets_at_the_threshold_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        both, a, b = rng.integers(1, 60), rng.integers(0, 40), rng.integers(0, 40)
+        own = rng.permutation(1 << 16)[: both + a + b].astype(np.uint64)
+        level = {int(x): int(k) for x, k in zip(own, rng.integers(0, 4, len(own)))}
+        sets = [np.sort(np.concatenate([own[:both], own[both : both + a]])), np.sort(np.concatenate([own[:both], own[both + a :]]))]
+        level |= {int(x): max(1, level[int(x)]) for x in own[:both]}
+        n = np.array([len(x) for x in sets])
+        g, per = jc.keys(np.concatenate(sets), n, np.array([level[int(x)] for x in np.concatenate(sets)]))
+        if both >= jc.THRESHOLD * (both + a + b):
+            assert set(g[: per[0]].tolist()) & set(g[per[0] :].tolist())
 
 
 def test_hot_keys_go_from_sets_that_have_others(spark, monkeypatch):
@@ -80,11 +117,11 @@ def test_hot_keys_go_from_sets_that_have_others(spark, monkeypatch):
         docs[100 + i] = [rng.choice(voc) if rng.random() < 0.12 else w for w in docs[i]]
         docs[200 + i] = passage + make(rng.randint(0, 8))  # hardly more than the passage
     docs = {i: " ".join(w) for i, w in docs.items()}
-    monkeypatch.setattr(jc, "BLOCK", 20)
+    monkeypatch.setattr(jc, "BLOCK", 10)
     df = frame(spark, [(i, t, "en", "s", len(t)) for i, t in docs.items()])
     sets = jc.tv.written(jc.profiles(df).withColumn("band", jc.F.lit(0)).dropDuplicates(["sig"]), "sets")
     keys = dict(sets.select("sig", jc.F.size("tiles")).collect())
-    met, hot = jc._met(sets).where("band = 0 and i = 0 and j = 0").groupBy("sig").count(), sets.select(jc.F.explode("tiles").alias("tile")).groupBy("tile").count().where("count > 20")
+    met, hot = jc._met(sets).where("band = 0 and i = 0 and j = 0").groupBy("sig").count(), sets.select(jc.F.explode("tiles").alias("tile")).groupBy("tile").count().where("count > 10")
     assert hot.count() > 0 and met.count() < len(keys)  # sets without other partners have left
     assert found(df) == brute(docs)
 
