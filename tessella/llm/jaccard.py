@@ -92,22 +92,14 @@ def _chunked(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("blob", pa.binary()), ("size", pa.int64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for piece in tv.pieces(batch, "text"):
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, piece.schema) as w:
-                    w.write_batch(piece)
-                yield tv.batch_of(schema, [pack(out.getvalue().to_pybytes())], [piece.nbytes])
+                yield tv.batch_of(schema, [tv.packed(piece)], [piece.nbytes])
 
     own = docs.where("doc_id is not null and text != ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInArrow(part, "blob binary, size long").withColumn("chunk", F.monotonically_increasing_id())
 
 
-def _unchunked(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
-
-
 def _dealt(g: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts hashes by bucket, and the number in each bucket."""
     b = (g % np.uint64(buckets)).astype(np.int32)
@@ -123,7 +115,7 @@ def _levels(chunks: DataFrame, buckets: int) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                g, _ = gram_sets(_unchunked(blob.as_py()).column(1))
+                g, _ = gram_sets(tv.unpacked(blob.as_py()).column(1))
                 o, per = _dealt(g, buckets)
                 some = np.flatnonzero(per)
                 yield tv.batch_of(schema, some.astype(np.int32), np.full(len(some), chunk), _binary((g[o] >> np.uint64(32)).astype(np.uint32).view(np.uint8), 4 * per[some]))
@@ -180,7 +172,7 @@ def _profiles(chunks: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = _unchunked(batch.column(1)[i].as_py())
+                own = tv.unpacked(batch.column(1)[i].as_py())
                 g, size = gram_sets(own.column(1))
                 o, _ = _dealt(g, buckets)
                 level = np.empty(len(g), np.uint8)
@@ -316,7 +308,7 @@ def _texts(chunks: DataFrame, prof: DataFrame, clusters: DataFrame) -> DataFrame
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for blob, want in zip(batch.column(0), batch.column(1)):
-                text = _unchunked(blob.as_py()).column(1)
+                text = tv.unpacked(blob.as_py()).column(1)
                 at, sig = want.values.field(0), want.values.field(1)
                 yield tv.batch_of(schema, sig, [pack(x.encode()) for x in text.take(at).to_pylist()])
 

@@ -6,11 +6,13 @@ from order ORDER down to a uniform p. A URL's score is the difference of the two
 URLs that score at least the calibrated threshold stay.
 
 The examples come from a table of labels (url, accepted). Without one, a host that contains one of SEED_TERMS is an example
-of what to reject, any other host one of what to accept. One in HELD_OUT of them (by hash of the URL) is held out. The
-models are fitted on at most ``per_class`` of the others of each class (those with the smallest hash) and count each of their n-grams by
-itself under a 64-bit hash, 24 bytes for each: so what is broadcast has a bound, 12 entries for each character of so many URLs. The
+of what to reject, any other host one of what to accept. All examples are used: one in HELD_OUT (by hash of the URL) sets the
+threshold, all others are counted, each of their n-grams by itself under a 64-bit hash. The
 threshold is the one that errs least, classes weighing the same, over the scores of all that are held out.
 
+Counts of at most BROADCAST n-grams, of 24 bytes each, go to every task. More stay a table, of which each chunk of URLs
+gets those of its own n-grams by a join; scores are the same.
+
 Characters are the bytes of the lower-cased URL without its scheme, with every digit read as 0.
 
 Defined results: a null or empty URL is dropped; equal URLs score alike, each page by itself; a very long URL is scored whole; a
@@ -34,7 +36,7 @@ SEED_TERMS = ("casino", "bets", "betting", "poker", "gambl", "pills", "pharma",
 ORDER = 5
 STRENGTH = 4.0
 HELD_OUT = 5
-PER_CLASS = 50_000
+BROADCAST = 2_000_000
 _BINS = 4000
 _LOW, _HIGH = -10.0, 10.0
 _ROWS = 8192
@@ -105,7 +107,18 @@ class _Of:
         return self.counts.of(h)[self.c]
 
 
-def _tables(pages: DataFrame) -> Counts:
+class Stored:
+    """Counts of more n-grams than are broadcast: a table (h, good, bad), and whether each class has any."""
+
+    def __init__(self, table: DataFrame, seen: list[bool]):
+        self.table, self.seen = table, seen
+
+
+def _local(h: pa.Array, good: pa.Array, bad: pa.Array) -> Counts:
+    return Counts(h.to_numpy().view(np.uint64), np.array([good.to_numpy(), bad.to_numpy()]))
+
+
+def _tables(pages: DataFrame) -> Counts | Stored:
     """The counts of every n-gram and context."""
     schema = pa.schema([("h", pa.int64()), ("good", pa.int64()), ("bad", pa.int64())])
 
@@ -120,8 +133,12 @@ def _tables(pages: DataFrame) -> Counts:
                         yield tv.batch_of(schema, key.view(np.int64), *(np.bincount(at[sel], minlength=len(key)) for sel in (~bad, bad)))
 
     got = pages.select("url", "bad").mapInArrow(part, "h long, good long, bad long").groupBy("h").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    t = got.toArrow()
-    return Counts(t["h"].to_numpy().view(np.uint64), np.array([t["good"].to_numpy(), t["bad"].to_numpy()]))
+    got = tv.written(got, "ngrams")
+    n, good, bad = got.agg(F.count(F.lit(1)), F.sum("good"), F.sum("bad")).first()
+    if n > BROADCAST:
+        return Stored(got, [good > 0, bad > 0])
+    t = got.toArrow().combine_chunks()
+    return _local(*(t[c].combine_chunks() for c in ("h", "good", "bad")))
 
 
 def scores(tables: Counts, url: pa.Array) -> np.ndarray:
@@ -132,8 +149,10 @@ def scores(tables: Counts, url: pa.Array) -> np.ndarray:
     return np.bincount(who, np.log(p[0]) - np.log(p[1]), minlength=len(size)) / size
 
 
-def _scored(pages: DataFrame, tables: Counts) -> DataFrame:
+def _scored(pages: DataFrame, tables: Counts | Stored) -> DataFrame:
     """pages with their score as the last column."""
+    if isinstance(tables, Stored):
+        return _scored_by_join(pages, tables)
     b = pages.sparkSession.sparkContext.broadcast(tables)
     at = pages.columns.index("url")
 
@@ -142,21 +161,58 @@ def _scored(pages: DataFrame, tables: Counts) -> DataFrame:
             for piece in tv.pieces(batch, "url", max_rows=_ROWS):
                 yield piece.append_column("score", pa.array(scores(b.value, piece.column(at)), pa.float64()))
 
-    return pages.mapInArrow(part, pages.schema.simpleString()[7:-1].replace(":", " ") + ", score double")
+    return pages.mapInArrow(part, _with_score(pages))
+
+
+def _with_score(pages: DataFrame) -> str:
+    return pages.schema.simpleString()[7:-1].replace(":", " ") + ", score double"
+
+
+def _scored_by_join(pages: DataFrame, tables: Stored) -> DataFrame:
+    at = pages.columns.index("url")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tv.pieces(batch, "url", max_rows=_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([tv.packed(piece)], pa.binary())], ["blob"])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0), batch.column(1)):
+                codes, _, _ = _codes(tv.unpacked(blob.as_py()).column(at))
+                h = np.unique(np.concatenate([x for c in codes for x in c]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk.as_py())), pa.array(h.view(np.int64))], ["chunk", "h"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                piece, found = tv.unpacked(batch.column(0)[i].as_py()), batch.column(1)[i].values
+                own = _local(*(found.field(k) for k in range(3))) if found is not None else Counts(np.zeros(0, np.uint64), np.zeros((2, 0), np.int64))
+                yield piece.append_column("score", pa.array(scores(own, piece.column(at)), pa.float64()))
+
+    chunks = tv.written(pages.mapInArrow(pack, "blob binary").withColumn("chunk", F.monotonically_increasing_id()), "urls").select("chunk", "blob")
+    need = chunks.mapInArrow(hashes, "chunk long, h long")
+    found = need.join(tables.table, "h").groupBy("chunk").agg(F.collect_list(F.struct("h", "good", "bad")).alias("counts"))
+    return chunks.join(found, "chunk", "left").select("blob", "counts").mapInArrow(part, _with_score(pages))
 
 
 def _bare(url: Column) -> Column:
     return F.lower(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))
 
 
-def fit(pages: DataFrame, labels: DataFrame | None = None, per_class: int = PER_CLASS) -> tuple[Counts, float]:
-    """The two models and the threshold, from labels (url, accepted) or, without them, from the seed terms in pages."""
+def fit(pages: DataFrame, labels: DataFrame | None = None, per_class: int | None = None) -> tuple[Counts | Stored, float]:
+    """The two models and the threshold, from labels (url, accepted) or, without them, from the seed terms in pages.
+
+    All examples count, unless per_class bounds those that the models are of."""
     bad = seeded(F.col("url")) if labels is None else ~F.col("accepted").cast("boolean")
     own = (pages if labels is None else labels).where("url != ''").select(_bare(F.col("url")).alias("url"), bad.alias("bad"), F.xxhash64("url").alias("key")).where("bad is not null")
     held = F.pmod("key", F.lit(HELD_OUT)) == 0
-    each = [own.where(~held & kind).orderBy("key", "url").limit(per_class) for kind in (F.col("bad"), ~F.col("bad"))]
-    tables = _tables(each[0].unionByName(each[1]))
-    if not tables.n.any(1).all():
+    counted = own.where(~held)
+    if per_class is not None:
+        each = [counted.where(kind).orderBy("key", "url").limit(per_class) for kind in (F.col("bad"), ~F.col("bad"))]
+        counted = each[0].unionByName(each[1])
+    tables = _tables(counted)
+    if not (all(tables.seen) if isinstance(tables, Stored) else tables.n.any(1).all()):
         return tables, -np.inf
     own = own.withColumn("held", held)
     cell = F.floor((F.least(F.greatest(F.col("score"), F.lit(_LOW)), F.lit(_HIGH - 1e-9)) - _LOW) / (_HIGH - _LOW) * _BINS).cast("int")

@@ -105,3 +105,23 @@ def test_a_score_equal_to_the_threshold_stays(spark, monkeypatch):
     monkeypatch.setattr(uf, "fit", lambda pages, labels=None: (tables, s))
     one = spark.createDataFrame([(1, "https://www.gardening.example.org/p/77", ""), (1, "HTTP://www.gardening.example.org/p/77", "")], DDL)
     assert uf.accepted(one).count() == 2
+
+
+def test_every_example_counts_and_wide_counts_are_joined(spark, monkeypatch):
+    """Far more rejected URLs than 50,000: each is counted. Counts that aren't broadcast give the same scores."""
+    df = spark.range(70_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://free-casino.org/"), F.expr("translate(id, '0123456789', 'abcdefghij')")).alias("url"), F.lit("").alias("html"))
+    df = df.unionByName(spark.createDataFrame(pages(300), DDL))
+    tables, threshold = uf.fit(df)
+    kept = df.where(F.pmod(F.xxhash64("url"), F.lit(uf.HELD_OUT)) != 0).groupBy(uf.seeded(F.col("url"))).count().collect()
+    end = uf._codes(pa.array([""]))[0][0][0]  # "ends here", of no context: once in every URL
+    assert [int(x) for x in tables.of(end)[:, 0]] == [r["count"] for r in sorted(kept, key=lambda r: r[0])]
+    assert max(r["count"] for r in kept) > 50_000
+    some = df.where("page_id < 600")
+    want = sorted((r.page_id, r.url, r.score) for r in uf._scored(some.select("page_id", "url"), tables).collect())
+    monkeypatch.setattr(uf, "BROADCAST", 10)
+    wide, t = uf.fit(df)
+    assert isinstance(wide, uf.Stored) and t == threshold
+    got = sorted((r.page_id, r.url, r.score) for r in uf._scored(some.select("page_id", "url"), wide).collect())
+    assert got == want
+    one_class = spark.createDataFrame([(i, u, h) for i, u, h in pages(50) if i % 5], DDL)
+    assert uf.accepted(one_class).count() == 40
