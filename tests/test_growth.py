@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessella import queries as core
 from tessella.functions import clones
 from tessella.functions import metaast as m
+from tessella.operators import communities, graph, vector
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,24 @@ def test_trees_are_spread_over_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for name in ("ast_scope_similarity", "ast_clones", "ast_clone_classes"):
         assert core.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 2 * cores or f", {4 * cores})" in plan(core.QUERIES[name](spark, SF))
+
+
+def test_traversal_with_a_limit_sorts_no_paths(spark):
+    """Against the least paths, over two hops and back; the first hop keeps the least by hash."""
+    assert "SortAggregate" not in plan(core.QUERIES["traverse_limit"](spark, SF))
+    one = [(f"a{i}", f"b{i * 7 % 11}") for i in range(30)]
+    two = [(f"b{i % 11}", f"c{i * 5 % 17}") for i in range(40)]
+    first = {}
+    for a, b in one:
+        for x, c in two:
+            if x == b:
+                first[c] = min(first.get(c, (a, b, c)), (a, b, c))
+    right = sorted(first, key=first.get)
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    start = spark.createDataFrame([(f"a{i}",) for i in range(30)], "_id string").repartition(5)
+    dest = spark.createDataFrame([(f"c{i}",) for i in range(17)], "_id string").repartition(3)
+    for n in (1, 6, 50):
+        got = graph.traverse(start, [(frame(one), True), (frame(two), True)], dest, limit=n)
+        assert [r[0] for r in got.select("_id").collect()] == right[:n]
+    back = graph.traverse(start, [(frame([(b, a) for a, b in one]), False), (frame(two), True)], dest, limit=50)
+    assert [r[0] for r in back.select("_id").collect()] == right
