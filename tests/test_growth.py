@@ -73,3 +73,38 @@ def test_traversal_with_a_limit_sorts_no_paths(spark):
         assert [r[0] for r in got.select("_id").collect()] == right[:n]
     back = graph.traverse(start, [(frame([(b, a) for a, b in one]), False), (frame(two), True)], dest, limit=50)
     assert [r[0] for r in back.select("_id").collect()] == right
+
+
+def test_distances_are_in_memory_for_a_slice_of_queries(spark, monkeypatch):
+    import numpy as np
+
+    seen, plain = [], vector.distances
+    monkeypatch.setattr(vector, "distances", lambda q, x, name: seen.append(len(q)) or plain(q, x, name))
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(str(i), rng.random(4).tolist()) for i in range(300)], "_id string, v array<double>")
+    made = []
+    monkeypatch.setattr(vector, "by_block", lambda queries, block, search, k: made.append(search))
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, part, ddl: part)
+    vector.nearest(frame, frame, 3)
+    part = made[0]([str(i) for i in range(300)], rng.random((300, 4)))
+    import pyarrow as pa
+
+    list(part(iter([pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array([[1.0, 0, 0, 0], [0, 1.0, 0, 0]])], ["_id", "v"])])))
+    assert sum(seen) == 300 and max(seen) <= vector.SLICE
+
+
+def test_communities_hold_arrays(spark):
+    assert "FlatMapGroups" not in plan(communities.communities(spark.createDataFrame([("a", "b"), ("c", "c")], "src string, dst string")))
+    got = {tuple(r.members) for r in communities.communities(spark.createDataFrame([("a", "b"), ("c", "c")], "src string, dst string")).collect()}
+    assert got == {("a", "b"), ("c",)}
+
+
+def test_stems_of_pieces():
+    import pyarrow as pa
+
+    from tessella.functions import stemming
+
+    rows = [["running", "flies"], None, [], ["news", None, "hopping"], ["running"] * 5]
+    for piece in (1, 3, 100):
+        got = stemming.stem_lists(pa.array(rows, pa.list_(pa.string())), "en", piece).to_pylist()
+        assert got == [["run", "fli"], None, [], ["news", None, "hop"], ["run"] * 5]
